@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import packing, token_files
+from ledgerloom.llm import line_dedup, packing, simhash, token_files
 from ledgerloom.llm.shared import table
 from ledgerloom.llm.tokens import tokenizer_path
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "n_lines", "n_dropped")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=0)
 
@@ -20,9 +25,36 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op5_token_files": op5_token_files,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Exact distinct sites in place of sketches.
+LINE_DEDUP_SQL = """
+WITH lines AS (
+  SELECT doc_id, coalesce(source, '') AS site, u.pos AS pos, u.line AS line
+  FROM documents, unnest(list_zip(range(len(string_split(coalesce(text, ''), chr(10)))), string_split(coalesce(text, ''), chr(10)))) AS z(u0),
+       LATERAL (SELECT u0[1] AS pos, u0[2] AS line) AS u
+), common AS (
+  SELECT line, min((doc_id, pos)) AS first FROM lines
+  WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')
+  GROUP BY line HAVING count(DISTINCT site) >= {sites}
+), marked AS (
+  SELECT l.doc_id, l.pos, l.line, c.line IS NOT NULL AND (l.doc_id, l.pos) <> c.first AS gone
+  FROM lines l LEFT JOIN common c ON l.line = c.line
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text,
+  CAST(length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS BIGINT) AS n_chars,
+  count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped
+FROM marked GROUP BY doc_id
+""".format(sites=line_dedup.SITES)
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL}
