@@ -58,7 +58,7 @@ def drop_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     met = keys.where(F.col("doc_id").isNotNull()).join(common, ["h", "g"])
     gone = met.where((F.col("first.doc_id").isNull()) | (F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     gone = written(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("_gone")).select(F.col("doc_id").alias("_doc"), "_gone"), "dropped-lines")
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc"], "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_doc"], "left")
     lines = _lines()
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))

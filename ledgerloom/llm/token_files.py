@@ -119,6 +119,18 @@ class Reader:
             start, length = start + take, length - take
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
+    def walk(self, span: int = 16 * BLOCK) -> Iterator:
+        """(document, start, ids) of every document in order, unpacked span by span."""
+        import numpy as np
+
+        held, base = np.zeros(0, np.uint32), 0
+        for doc, start, n in self.documents:
+            while base + len(held) < start + n:
+                end = base + len(held)
+                held = np.concatenate([held[start - base :], self.ids(end, min(span, self.n - end))])
+                base = start
+            yield doc, start, held[start - base : start - base + n]
+
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encodes every whole text (null: empty), adds end_id, and writes files in
@@ -179,9 +191,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file, docs = Reader(path), []
-                for k, start, n in file.documents:
-                    docs.append((k, base + start, n, zlib.crc32(file.ids(start, n).astype("<u4").tobytes())))
+                for k, start, ids in file.walk():
+                    docs.append((k, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 for i in range(0, len(docs), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*docs[i : i + 10_000], strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
