@@ -83,10 +83,11 @@ def sliding_hours(rows: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def user_sessions(rows: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Stays of users in markets: trades less than an hour and a second apart."""
+    """Stays of users in markets: trades at most an hour apart (a session takes in a
+    row that begins just at its end)."""
     timed = rows.withColumn("ts", F.timestamp_seconds("timestamp"))
     if rows.isStreaming:
         timed = timed.withWatermark("ts", late)
-    w = F.session_window("ts", f"{HOUR + 1} seconds")
+    w = F.session_window("ts", f"{HOUR} seconds")
     out = timed.groupBy("market_id", "user_id", w).agg(F.count(F.lit(1)).alias("n_trades"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
     return out.drop("session_window")
