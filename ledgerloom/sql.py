@@ -216,8 +216,8 @@ ORACLE_SQL: dict[str, str] = {
     "standardized": f"""{VIEWS}, j AS (SELECT g.*, split FROM g LEFT JOIN meta ON meta.market_id = g.market_id), s AS (
       SELECT avg(dt_trade) AS am, stddev_pop(dt_trade) AS asd, avg(user_total_volume_before) AS bm, stddev_pop(user_total_volume_before) AS bsd,
         avg(market_volatility_1h) AS cm, stddev_pop(market_volatility_1h) AS csd FROM j WHERE split = 'train')
-      SELECT trade_uid, split, {r('(dt_trade - am) / asd')} AS dt_trade, {r('(user_total_volume_before - bm) / bsd')} AS user_total_volume_before,
-        {r('(market_volatility_1h - cm) / csd')} AS market_volatility_1h, {r('price')} AS price FROM j, s""",
+      SELECT trade_uid, split, {r('(dt_trade - am) / CASE WHEN asd > 0 THEN asd ELSE 1 END')} AS dt_trade, {r('(user_total_volume_before - bm) / CASE WHEN bsd > 0 THEN bsd ELSE 1 END')} AS user_total_volume_before,
+        {r('(market_volatility_1h - cm) / CASE WHEN csd > 0 THEN csd ELSE 1 END')} AS market_volatility_1h, {r('price')} AS price FROM j, s""",
     "market_tokens": f"{TOKENS} SELECT * FROM tokens",
     "market_index": f"{TOKENS} SELECT *, {INDEX.format('market_id')} FROM market_index",
     "user_tokens": f"{TOKENS} SELECT * FROM user_tokens",
