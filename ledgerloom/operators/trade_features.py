@@ -116,7 +116,61 @@ def _hour_sweep(keys: list[str], values: dict[str, Column], rows: DataFrame) ->
     return both.withColumns(sums).where("_phase = 0").drop("_k", "_phase", *exact)
 
 
+def with_halo(rows: DataFrame, width: int) -> DataFrame:
+    """Rows in time blocks of `width` seconds (an hour at least), each block with
+    copies of the rows of the hour before it: all that the hour windows of its own
+    rows can see. A hot market's hours then spread over tasks by (market, _block);
+    own() drops the copies again."""
+    block = F.floor(F.col("timestamp") / width)
+    next_too = F.col("timestamp") + HOUR >= (block + 1) * width
+    rows = rows.withColumn("_at", block).withColumn("_block", F.explode(F.when(next_too, F.array(block, block + 1)).otherwise(F.array(block))))
+    return rows.withColumn("_own", F.col("_at") == F.col("_block")).drop("_at")
+
+
+def own(rows: DataFrame) -> DataFrame:
+    return rows.where("_own").drop("_own", "_block")
+
+
+def market_in_blocks(rows: DataFrame, width: int = 86_400) -> DataFrame:
+    """market_lifetime(), market_prices() and the market's part of pair_lifetime()
+    for markets of any size: sums, first times and last prices within time blocks,
+    and those of the blocks before from one row a block. The rows are dealt by
+    (market, block) once, for the windows and for the join."""
+    rows = rows.withColumn("p_yes", S.p_yes("price", "outcome_index")).withColumn("_b", F.floor(F.col("timestamp") / width))
+    keys = ["market_id", "_b"]
+    w = Window.partitionBy(*keys).orderBy(*ORDER)
+    place = F.struct(*ORDER)
+    prices = {"_yes": F.when(F.col("outcome_index") == 1, F.col("price")), "_no": F.when(F.col("outcome_index") != 1, F.col("price"))}
+    blocks = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("usdc").alias("v"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"),
+        *[F.max_by(x, F.when(x.isNotNull(), place)).alias(c) for c, x in prices.items()],
+    )
+    past = Window.partitionBy("market_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        *keys, F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_n0"), F.coalesce(F.sum("v").over(past), F.lit(0.0)).alias("_v0"),
+        F.coalesce(F.min("lo").over(past), "lo").alias("_first"), F.max("hi").over(past).alias("_last"),
+        *[F.last(c, ignorenulls=True).over(past).alias(f"{c}0") for c in prices],
+    )
+    inside = {"_n": F.count(F.lit(1)).over(before(w)), "_v": F.coalesce(F.sum("usdc").over(before(w)), F.lit(0.0)), "_lag": F.lag("timestamp").over(w)}
+    rows = rows.withColumns(inside | {c: F.last(x, ignorenulls=True).over(before(w)) for c, x in prices.items()}).join(blocks, keys)
+    gap = F.coalesce(F.col("timestamp") - F.coalesce("_lag", "_last"), F.lit(-1))
+    mid = F.coalesce("_yes", "_yes0", "p_yes")
+    move = F.col("p_yes") - mid
+    out = {
+        "market_total_trades_before": F.col("_n") + F.col("_n0"), "market_total_volume_before": F.col("_v") + F.col("_v0"),
+        "market_time_since_first_trade": F.col("timestamp") - F.col("_first"), "dt_trade": gap, "time_since_last_market_trade": gap,
+        "last_price_yes": F.coalesce("_yes", "_yes0", F.lit(0.0)), "last_price_no": F.coalesce("_no", "_no0", F.lit(0.0)),
+        "mid_price": mid, "dp_yes": move, "price_deviation": move, "signed_price_deviation": move,
+    }
+    return rows.withColumns(out).drop("_b", "_n", "_v", "_lag", "_yes", "_no", "_n0", "_v0", "_first", "_last", "_yes0", "_no0")
+
+
+def _blocked(keys: list[str], rows: DataFrame) -> list[str]:
+    return [*keys, "_block"] if "_block" in rows.columns else keys
+
+
 def _with_hour(rows: DataFrame, keys: list[str], values: dict[str, Column], strategy: str) -> DataFrame:
+    keys = _blocked(keys, rows)
     if strategy == "sweep":
         return _hour_sweep(keys, values, rows)
     return rows.withColumns(_hour(keys, values, rows))
@@ -143,12 +197,13 @@ def market_traders(rows: DataFrame) -> DataFrame:
     """Distinct users of the market's hour before the trade, without holding sets: a
     user's trades no more than an hour apart are one stay, which opens at its first
     trade and closes an hour after its last; open stays are a prefix sum."""
-    wum = _by("market_id", "user_id")
+    market = _blocked(["market_id"], rows)
+    wum = _by(*market, "user_id")
     gap, ahead = F.col("timestamp") - F.lag("timestamp").over(wum), F.lead("timestamp").over(wum) - F.col("timestamp")
     rows = rows.withColumns({"_open": (gap.isNull() | (gap > HOUR)).cast("int"), "_last": ahead.isNull() | (ahead > HOUR)})
-    closes = rows.where("_last").select("market_id", "trade_uid", (F.col("timestamp") + HOUR).alias("_k"), F.lit(1).alias("_phase"), F.lit(-1).alias("_open"))
+    closes = rows.where("_last").select(*market, "trade_uid", (F.col("timestamp") + HOUR).alias("_k"), F.lit(1).alias("_phase"), F.lit(-1).alias("_open"))
     both = rows.withColumns({"_k": F.col("timestamp"), "_phase": F.lit(0)}).unionByName(closes, allowMissingColumns=True)
-    w = before(Window.partitionBy("market_id").orderBy("_k", "_phase", "trade_uid"))
+    w = before(Window.partitionBy(*market).orderBy("_k", "_phase", "trade_uid"))
     return both.withColumn("num_unique_traders_last_1h", F.coalesce(F.sum("_open").over(w), F.lit(0))).where("_phase = 0").drop("_open", "_last", "_k", "_phase")
 
 

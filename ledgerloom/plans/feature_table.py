@@ -21,16 +21,23 @@ user_trade_count_in_market user_share_of_volume_in_market time_since_user_last_t
 """.split()
 
 
-def build(trades: DataFrame, markets: DataFrame, end_mode: str = "effective", strategy: str = "range", std_mode: str = "rms") -> DataFrame:
+def build(trades: DataFrame, markets: DataFrame, end_mode: str = "effective", strategy: str = "range", std_mode: str = "rms", block: int | None = None) -> DataFrame:
     """Market windows first, then the columns are carried through the user's shuffle.
     end_mode: "effective" fills missing ends by the last trade, "announced" does not.
-    strategy: how the hour before is summed, "range" or "sweep" (for hot markets)."""
+    strategy: how the hour before is summed, "range" or "sweep" (for many trades an
+    hour). block: seconds of the time blocks, an hour at least, into which markets are
+    cut, so that a market with a large share of all rows spreads over tasks; None
+    keeps a market together, which saves the join of the blocks' sums."""
     if end_mode == "effective":
         markets = effective_ends(trades, markets)
     rows = T.trade_local(T.base(trades, markets))
-    rows = T.market_prices(T.market_lifetime(rows))
+    rows = T.market_in_blocks(rows, block) if block else T.market_prices(T.market_lifetime(rows))
     rows = T.pair_lifetime(rows)
+    if block:
+        rows = T.with_halo(rows, block)
     rows = T.pair_hour(T.market_hour(rows, strategy), strategy)
     rows = T.market_traders(rows)
+    if block:
+        rows = T.own(rows)
     rows = T.realised_pnl(T.user_lifetime(rows), std_mode)
     return rows.select(*COLUMNS)

@@ -275,6 +275,7 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {
     "feature_table": _features,
+    "feature_table_blocks": lambda s, d: feature_table.build(fixture.trades(s, d), fixture.markets(s, d), strategy="sweep", block=86_400),
     "temporal_split": _splits,
     "market_meta": _meta,
     "split_features": lambda s, d: _split_features(s, d).select("trade_uid", "market_id", "split", "label_y"),

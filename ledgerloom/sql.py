@@ -207,6 +207,7 @@ ORACLE_SQL: dict[str, str] = {
     "pair_hour": features("trade_uid", "user_usdc_last_1h_in_market", "user_trades_last_1h_in_market", "user_share_of_volume_1h_in_market"),
     "pair_lifetime": features("trade_uid", "user_total_usdc_in_market", "user_trade_count_in_market", "user_share_of_volume_in_market", "time_since_user_last_trade_in_market"),
     "feature_table": features(*_feature_names()),
+    "feature_table_blocks": features(*_feature_names()),
     "temporal_split": f"{VIEWS} SELECT market_id, end_ts, split FROM splits",
     "market_meta": f"{VIEWS} SELECT market_id, split, y FROM meta",
     "split_features": f"{VIEWS} SELECT trade_uid, v.market_id, split, CAST(y AS DOUBLE) AS label_y FROM v LEFT JOIN meta ON meta.market_id = v.market_id",
