@@ -12,20 +12,20 @@ ODD = ["", None, " ", "a", "  two  blanks ", "line\nfeed\n\n x\n", "it's 12 34,5
 
 
 @pytest.fixture(scope="module")
-def reference():
+def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_ids_are_those_of_the_library(reference):
+def test_ids_are_those_of_the_library(library):
     own = encoder(tokenizer_path())
     rng = random.Random(3)
     pieces = [" ", "  ", "\n", ".", ",", "'s", "\t", "Ab", "zoo", "9", "é", "***", "<|endoftext|>", " ", "x'y", "_"]
     texts = [*ODD, *prose(1, 30), *["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(400)]]
     for t in texts:
-        assert np.frombuffer(own.encode(t or ""), "<u4").tolist() == reference(t), repr(t)
+        assert np.frombuffer(own.encode(t or ""), "<u4").tolist() == library(t), repr(t)
 
 
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 31, 32])
@@ -39,14 +39,14 @@ def test_bits_for():
     assert [token_files.bits_for(n) for n in (0, 1, 2, 3, 50257, 65536, 65537)] == [1, 1, 1, 2, 16, 16, 17]
 
 
-def test_files(spark, reference, monkeypatch):
+def test_files(spark, library):
     texts = [*ODD, *prose(2, 40)]
     docs = documents(spark, texts, ids=[7 * i % 101 for i in range(len(texts))]).withColumnRenamed("lang", "k")
     manifest = token_files.write_token_files(docs, tokenizer_path())
     got = {r["doc_id"]: tuple(r)[1:] for r in token_files.read_token_files(manifest).collect()}
     start = 0
     for k, t in sorted((7 * i % 101, t) for i, t in enumerate([x or "" for x in texts])):
-        ids = [*reference(t), 2]
+        ids = [*library(t), 2]
         assert got[k] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     file = token_files.Reader(manifest.orderBy("part", "seq").first()["path"])
@@ -96,10 +96,10 @@ def test_costs_are_balanced():
     assert max(costs[:-1]) < 1.2 * min(costs[:-1])
 
 
-def test_pack(spark, reference):
+def test_pack(spark, library):
     texts = [*ODD, *prose(4, 60, 400)]
     got = packing.pack(documents(spark, texts), tokenizer_path(), 256).collect()
-    ids = {i: [*reference(t), 0] for i, t in enumerate(texts)}
+    ids = {i: [*library(t), 0] for i, t in enumerate(texts)}
     for r in got:
         piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
         assert len(piece) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(piece, "<u4").tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
