@@ -59,12 +59,12 @@ def market_windows(tokens: DataFrame, length: int, columns: Sequence[str] = MARK
     )
 
 
-def dual_samples(tokens: DataFrame, user_tokens: DataFrame, market_length: int, user_length: int, mask_mode: str = "reference", mode: str = "last", epoch: int = 0) -> DataFrame:
+def dual_samples(tokens: DataFrame, user_tokens: DataFrame, market_length: int, user_length: int, mask_mode: str = "own_time", mode: str = "last", epoch: int = 0) -> DataFrame:
     """Market windows with the history of the target trade's user: the last
     user_length tokens of the same split strictly before the target's second.
 
     A history label is UNKNOWN where the history trade itself came before its market
-    resolved ("reference"), or where the market resolves after the target ("asof").
+    resolved ("own_time"), or where the market resolves after the target ("asof").
     The label stands as a fourth column of user_x as well. A user without history
     has zeros, an empty mask and UNKNOWN labels.
     """
@@ -75,7 +75,7 @@ def dual_samples(tokens: DataFrame, user_tokens: DataFrame, market_length: int,
     met = targets.join(past, ["split", "user_id"]).where(F.col("uts") < F.col("target_ts"))
     w = Window.partitionBy("split", "market_id").orderBy(F.desc("uts"), F.desc("trade_uid"))
     met = met.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= user_length)
-    hidden = F.col("uts") < F.col("market_resolve_time") if mask_mode == "reference" else F.col("market_resolve_time") > F.col("target_ts")
+    hidden = F.col("uts") < F.col("market_resolve_time") if mask_mode == "own_time" else F.col("market_resolve_time") > F.col("target_ts")
     label = F.when(hidden, F.lit(UNKNOWN)).otherwise(F.col("uy")).cast("float")
     values = F.array(*[F.col(c).cast("float") for c in USER_COLUMNS], label)
     seq = F.array_sort(F.collect_list(F.struct((-F.col("_rank")).alias("r"), values.alias("v"), label.alias("y"))))
