@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import drop_table, text_of, written
 
-#: COMMON: words in more than that share of passages carry no weight. NEAR: least
-#: cosine of a candidate. MATCH, ANSWER: least common share of the item's words and
-#: of its last quarter's. BLOCK: items searched at once; the rank is SPARE more.
-PASSAGE, COMMON, ITEMS, NEAR, MATCH, ANSWER, BLOCK, SPARE = 64, 0.01, 10.0, 0.25, 0.65, 0.5, 1024, 32
+#: NEAR: least cosine of a candidate. MATCH, ANSWER: least common share of the item's
+#: words and of its last quarter's. BLOCK: items searched at once; the rank is SPARE
+#: more. Words of any frequency carry weight, so that an item that leaks often is found.
+PASSAGE, ITEMS, NEAR, MATCH, ANSWER, BLOCK, SPARE = 64, 10.0, 0.25, 0.65, 0.5, 1024, 32
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -269,7 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
         kind, size = "<i2" if len(vocabulary) < 32_000 else "<i4", max(1, len(vocabulary))
         encoded = written(_encoded(docs, vocabulary, kind, text, key), "encoded-passages")
         df, n = _frequencies(encoded, kind, size)
-        idf = np.where((df > 0) & (df <= max(COMMON * n, 2)), np.log((n + 1) / (df + 1)) + 1e-6, 0.0)
+        idf = np.where(df > 0, np.log((n + 1) / (df + 1)) + 1, 0.0)
         coded = [(k, [vocabulary[w] for w in x]) for k, x in own]
         test = np.random.default_rng(7).standard_normal((size, min(len(own) + SPARE, size))).astype(np.float32)
         rows = _item_rows(coded, idf)
