@@ -238,25 +238,25 @@ def _chunks(block: Block, at, count):
 
 def _total(parts: DataFrame, width: int):
     """The sum of the tasks' tables. parts: slice, part (a number by which the first
-    level is grouped), payload (packed int32). width: numbers in a slice."""
+    level is grouped), payload (packed int64). width: numbers in a slice."""
     import numpy as np
     import pandas as pd
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         import zstandard
 
-        total = np.zeros(width, np.int32)
+        total = np.zeros(width, np.int64)
         for x in pdf["payload"]:
-            total += np.frombuffer(zstandard.decompress(x), np.int32)
+            total += np.frombuffer(zstandard.decompress(x), np.int64)
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "part": [0], "payload": [zstandard.compress(total.tobytes(), 1)]})
 
     import zstandard
 
     schema = "slice int, part int, payload binary"
     first = parts.groupBy("slice", "part").applyInPandas(add, schema)
-    out = np.zeros((SLICES, width), np.int32)
+    out = np.zeros((SLICES, width), np.int64)
     for r in first.groupBy("slice").applyInPandas(add, schema).toLocalIterator():
-        out[r["slice"]] = np.frombuffer(zstandard.decompress(bytes(r["payload"])), np.int32)
+        out[r["slice"]] = np.frombuffer(zstandard.decompress(bytes(r["payload"])), np.int64)
     return out.ravel()
 
 
@@ -267,8 +267,8 @@ def _sliced(table):
     import zstandard
     from pyspark import TaskContext
 
-    flat = table.ravel().astype(np.int32)
-    flat = np.append(flat, np.zeros(-len(flat) % SLICES, np.int32)).reshape(SLICES, -1)
+    flat = table.ravel().astype(np.int64)
+    flat = np.append(flat, np.zeros(-len(flat) % SLICES, np.int64)).reshape(SLICES, -1)
     part = TaskContext.get().partitionId() % 16
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in flat], pa.binary())], ["slice", "part", "payload"])
 
@@ -283,12 +283,12 @@ def _counted(blocks: DataFrame):
     import numpy as np
 
     def run(batches: Iterator) -> Iterator:
-        table = np.zeros((2, TABLE), np.int32)
+        table = np.zeros((2, TABLE), np.int64)
         for b in _each(batches):
             at = np.flatnonzero(b.train)
             for _, _, bit, places in _chunks(b, at, b.count[b.ids[at]] - 1):
                 for value in (0, 1):  # an addend of the table's own type: else each addition is cast
-                    np.add.at(table[value], places[:, bit == value].ravel().astype(np.int64), np.int32(1))
+                    np.add.at(table[value], places[:, bit == value].ravel().astype(np.int64), np.int64(1))
         yield _sliced(table)
 
     out = _total(blocks.mapInArrow(run, "slice int, part int, payload binary"), _width(2 * TABLE))
