@@ -4,8 +4,9 @@ Attention over n tokens of one document costs about LINEAR * n + QUADRATIC * n**
 Within a block of documents (BLOCK_TOKENS ids, or one longer document) the number
 of sequences is the least that holds all ids. Documents give their full sequences
 first; the rests go in descending length to the sequence of the lowest cost so
-far, and where that has too little room left the piece is cut to fit. So only
-the last sequence of each block can be short, and no id is lost or doubled.
+far that has room for them, sought among the LOOK of lowest cost; where none has,
+the roomiest of those takes what fits and the rest goes on. So only the last
+sequence of each block can be short, and no id is lost or doubled.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import text_of
 
-LINEAR, QUADRATIC, BLOCK_TOKENS = 1.0, 1.0 / 1024, 2_000_000
+LINEAR, QUADRATIC, BLOCK_TOKENS, LOOK = 1.0, 1.0 / 1024, 2_000_000, 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
@@ -47,12 +48,18 @@ def assign(lengths: list[int], capacity: int) -> tuple[list[tuple[int, int, int,
     open_now = [(0.0, s) for s in left]
     for n, d, start in rest:
         while n:
-            c, s = heapq.heappop(open_now)
+            seen = []
+            while open_now and len(seen) < LOOK and (not seen or left[seen[-1][1]] < n):
+                seen.append(heapq.heappop(open_now))
+            c, s = seen[-1] if left[seen[-1][1]] >= n else max(seen, key=lambda x: left[x[1]])
             fits = min(n, left[s])
             whole = capacity if s < first + room - 1 else short
             pieces.append((d, start, fits, s, whole - left[s]))
             left[s] -= fits
             costs[s] = c + cost(fits)
+            for x in seen:
+                if x[1] != s:
+                    heapq.heappush(open_now, x)
             if left[s]:
                 heapq.heappush(open_now, (costs[s], s))
             n, start = n - fits, start + fits
@@ -64,8 +71,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
 
     Each task packs the rows it reads, block by block, so nothing is shuffled and
     memory holds one block. sequence_id is the task's number times 2**33 plus a
-    count. Repeated rows are separate documents, as are those with a null key. An
-    empty table gives no rows.
+    count. Repeated rows are separate documents, as are those with a null key (which
+    stays null). Only the key and the text are read: other columns, whatever their
+    names, do not matter. An empty table gives no rows.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -75,27 +83,30 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
 
         from ledgerloom.llm.tokens import encoder
 
-        enc, end, next_id = encoder(tokenizer), end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 33
+        enc, next_id = encoder(tokenizer), TaskContext.get().partitionId() << 33
         keys, held, size = [], [], 0
 
         def block():
             nonlocal next_id
-            lengths = [len(x) // 4 for x in held]
+            lengths = [len(x) for x in held]
             pieces, costs = assign(lengths, capacity)
             d, start, length, s, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
-            crc = [zlib.crc32(memoryview(held[i])[4 * a : 4 * (a + n)]) for i, a, n, _, _ in pieces]
+            crc = [zlib.crc32(held[i][a : a + n]) for i, a, n, _, _ in pieces]
             columns = [pa.array([keys[i] for i in d], pa.int64()), start, length, np.array(crc, np.int64), np.array(lengths, np.int64)[d], s + next_id, offset, np.array(costs)[s]]
             next_id += len(costs)
             return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], [x.split()[0] for x in PIECES.split(", ")])
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(k)
-                held.append(enc.encode(t) + end)
-                size += len(held[-1]) // 4
-                if size >= BLOCK_TOKENS:
-                    yield block()
-                    keys, held, size = [], [], 0
+            own = batch.column(0).to_pylist()
+            for k, ids, ends in enc.slices(batch.column(1), end_id):
+                ids = ids.astype("<u4", copy=False)
+                for i in range(len(ends) - 1):
+                    keys.append(own[k + i])
+                    held.append(ids[ends[i] : ends[i + 1]])
+                    size += len(held[-1])
+                    if size >= BLOCK_TOKENS:
+                        yield block()
+                        keys, held, size = [], [], 0
         if held:
             yield block()
 

@@ -146,29 +146,29 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, text: st
     dealt = dealt.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
 
     def write(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         from ledgerloom.llm.tokens import encoder
 
         task, enc = TaskContext.get(), encoder(tokenizer)
-        end, bits = np.array([end_id], "<u4"), bits_for(max(enc.size, end_id + 1))
-        rows, file = [], None
+        rows, file, bits = [], None, bits_for(max(enc.size, end_id + 1))
 
         def closed() -> None:
             file.close()
             rows.append((task.partitionId(), len(rows), path, file.n))
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if file is None:
-                    path = f"{folder}/part-{task.partitionId():06d}-{task.attemptNumber()}-{task.taskAttemptId()}-{len(rows):04d}.ids"
-                    file = Writer(path, bits)
-                file.add(k, np.concatenate([np.frombuffer(enc.encode(t), "<u4"), end]))
-                if file.n >= FILE_IDS:
-                    closed()
-                    file = None
+            keys = batch.column(0).to_pylist()
+            for k, ids, ends in enc.slices(batch.column(1), end_id):
+                for i in range(len(ends) - 1):
+                    if file is None:
+                        path = f"{folder}/part-{task.partitionId():06d}-{task.attemptNumber()}-{task.taskAttemptId()}-{len(rows):04d}.ids"
+                        file = Writer(path, bits)
+                    file.add(keys[k + i], ids[ends[i] : ends[i + 1]])
+                    if file.n >= FILE_IDS:
+                        closed()
+                        file = None
         if file is not None:
             closed()
         if rows:
@@ -183,7 +183,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     from sums over the manifest's parts, then within a part."""
     within, before = Window.partitionBy("part").orderBy("seq"), Window.orderBy("part")
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("all")).select("part", (F.sum("all").over(before) - F.col("all")).alias("base"))
-    files = manifest.join(F.broadcast(parts), "part").select("path", (F.col("base") + F.sum("n_ids").over(within) - F.col("n_ids")).alias("base"))
+    files = manifest.join(parts, "part").select("path", (F.col("base") + F.sum("n_ids").over(within) - F.col("n_ids")).alias("base"))
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
