@@ -7,6 +7,8 @@ Terms are the distinct words of a text and their first PREFIXES letters (so that
 an ending that no labelled row has still counts by its root). Each fit takes the
 TERMS terms that tell its classes apart best, by the z score of the log odds over
 its own training rows, and an L1 penalty, so that length adds nothing to a verdict.
+The fits of one category are tasks side by side, each over the bounded sample; what
+comes to the driver is their weights.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import drop_table, text_of, written
+from ledgerloom.llm.shared import drop_table, fresh, text_of, written
 
 #: SAMPLE bounds the labelled rows that models are fitted on (chosen by a hash of
 #: the id; expected count). Everything is scored.
@@ -66,15 +68,13 @@ class Model:
         self.bias, self.terms, self.earlier = bias, terms, list(earlier)
 
 
-def fit_linear(ids: list, y, dense, width: int, penalty: float = PENALTY, rounds: int = ROUNDS):
+def fit_linear(flat, counts, y, dense, width: int, penalty: float = PENALTY, rounds: int = ROUNDS):
     """L1-penalised logistic regression by accelerated proximal gradient steps.
-    ids: for each row the term columns that are 1; dense: further columns. Returns
-    (bias, term weights, dense weights)."""
+    flat: the rows' term columns that are 1, one row after another; counts: how many
+    each row has; dense: further columns. Returns (bias, term weights, dense weights)."""
     import numpy as np
 
-    counts = np.array([len(x) for x in ids])
-    flat, row = np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum())), np.repeat(np.arange(len(ids)), counts)
-    n, k = len(ids), dense.shape[1]
+    row, n, k = np.repeat(np.arange(len(counts)), counts), len(counts), dense.shape[1]
     scale = np.maximum(np.bincount(flat, minlength=width) / n, 1e-9)
     # Steps by column: curvature is at most a quarter of a column's mean square,
     # times the row's number of active columns; the mean row serves as that number.
@@ -115,11 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CHAIN, s
     null texts are empty. Where the labels have fewer than two classes, the
     category's probability is that class's (0 without labels).
 
-    Term counts are summed by Spark; at most `sample` rows (expected), as the few
-    terms chosen that they hold, come to the driver, where the small fits run.
+    Term counts are summed by Spark. At most `sample` rows (expected), as the few
+    terms chosen that they hold, meet in one task for each fit. Extra columns are not
+    read.
     """
-    import numpy as np
-
     marks = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(*[F.max(c).alias(f"_{c}") for c in categories])
     share = min(1.0, sample / max(1, marks.count()))
     chosen = marks.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -160,44 +159,90 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CHAIN, s
     union = {x: i for i, x in enumerate(sorted({x for xs in chosen_terms.values() for x in xs}))}
 
     def held(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         terms = _Terms(union)
         for batch in batches:
-            ids = [sorted(terms.of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names[2:], "ids"])
+            ids = [np.array(sorted(terms.of(t)), "<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(ids, pa.binary()), pa.array([[]] * len(ids), pa.list_(pa.float64()))], [*batch.schema.names[2:], "ids", "odds"])
 
-    schema = ", ".join(["_fold int", *[f"`_{c}` int" for c in categories], "ids array<int>"])
-    data = rows.mapInArrow(held, schema).toArrow()
+    schema = ", ".join(["_fold int", *[f"`_{c}` int" for c in categories], "ids binary", "odds array<double>"])
+    data = written(rows.mapInArrow(held, schema), "toxicity-terms-held")
     drop_table(counts)
     drop_table(rows)
-    folds, ids = data.column("_fold").to_numpy(), data.column("ids").to_pylist()
-    models, earlier = [], np.zeros((len(ids), 0))
+    models = []
     for i, c in enumerate(categories):
-        y = data.column(f"_{c}").to_numpy(zero_copy_only=False).astype(float)
-        out, final = np.zeros(len(ids)), None
-        for without in [w for f, w in fits if f == c]:
-            train = np.flatnonzero(~np.isnan(y) & ((folds != without) if without is not None else True))
-            n = classes(c, without)
-            if not all(n):
-                model = Model(30.0 if n[1] else -30.0, {}, [0.0] * i)
-            else:
-                column = {union[x]: j for j, x in enumerate(chosen_terms[c, without])}
-                bias, w, d = fit_linear([[column[x] for x in ids[r] if x in column] for r in train], y[train], earlier[train], len(column))
-                model = Model(bias, {x: float(v) for x, v in zip(chosen_terms[c, without], w, strict=True) if v}, d)
-            if without is None:
-                final = model
+        own = [w for f, w in fits if f == c]
+        learned = _fitted(data, c, {w: [union[x] for x in chosen_terms[c, w]] for w in own if all(classes(c, w))}, len(union))
+        found = {}
+        for w in own:
+            if w in learned:
+                bias, weights, earlier = learned[w]
+                found[w] = Model(bias, {x: float(v) for x, v in zip(chosen_terms[c, w], weights, strict=True) if v}, earlier)
             else:
-                weight = {union[x]: v for x, v in model.terms.items()}
-                for r in np.flatnonzero(folds == without):
-                    out[r] = model.bias + earlier[r] @ model.earlier + sum(weight.get(x, 0.0) for x in ids[r])
-        models.append(final)
-        earlier = np.hstack([earlier, np.clip(out, -30, 30)[:, None]])
+                found[w] = Model(30.0 if classes(c, w)[1] else -30.0, {}, [0.0] * i)
+        models.append(found[None])
+        if i + 1 < len(categories):
+            new = written(_out_of_fold(data, {w: m for w, m in found.items() if w is not None}, union), "toxicity-odds")
+            drop_table(data)
+            data = new
+    drop_table(data)
     return models
 
 
-def _with_probabilities(docs: DataFrame, models: list[Model], categories: Sequence[str], text: str) -> DataFrame:
-    """docs with a column _p_<category> for each category, in the tasks that read them."""
+def _fitted(data: DataFrame, category: str, columns: dict[int | None, list[int]], size: int) -> dict:
+    """For each fit (the fold that is left out, or None) its bias, term weights and
+    weights of earlier odds. columns: the numbers of its terms. One task for each fit."""
+    import numpy as np
+    import pandas as pd
+
+    if not columns:
+        return {}
+    all_rows, label = -1, f"_{category}"
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        fit = int(pdf["fit"].iloc[0])
+        own = columns[None if fit == all_rows else fit]
+        column = np.full(size, -1, np.int32)
+        column[own] = np.arange(len(own))
+        counts = pdf["ids"].str.len().to_numpy(np.int64) // 4
+        flat = column[np.frombuffer(b"".join(pdf["ids"]), "<i4")]
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[flat >= 0], minlength=len(counts))
+        dense = np.array(pdf["odds"].tolist(), float).reshape(len(pdf), -1)
+        bias, weights, earlier = fit_linear(flat[flat >= 0], counts, pdf[label].to_numpy(float), dense, len(own))
+        return pd.DataFrame({"fit": [fit], "bias": [bias], "weights": [weights.tolist()], "earlier": [earlier.tolist()]})
+
+    every = F.explode(F.array(*[F.lit(all_rows if w is None else w) for w in columns])).alias("fit")
+    rows = data.where(F.col(label).isNotNull()).select("_fold", label, "ids", "odds", every).where("fit <> _fold")
+    found = rows.groupBy("fit").applyInPandas(train, "fit int, bias double, weights array<double>, earlier array<double>").collect()
+    return {None if r["fit"] == all_rows else r["fit"]: (r["bias"], r["weights"], r["earlier"]) for r in found}
+
+
+def _out_of_fold(data: DataFrame, models: dict[int, Model], union: dict[str, int]) -> DataFrame:
+    """data with one more of the odds: those of the model that left out the row's fold."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        weights = {k: np.zeros(len(union)) for k in models}
+        for k, m in models.items():
+            for x, v in m.terms.items():
+                weights[k][union[x]] = v
+        for batch in batches:
+            out = []
+            for fold, ids, odds in zip(*[batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("_fold", "ids", "odds")], strict=True):
+                m = models[fold]
+                score = m.bias + sum(a * b for a, b in zip(odds, m.earlier, strict=True)) + weights[fold][np.frombuffer(ids, "<i4")].sum()
+                out.append([*odds, float(np.clip(score, -30, 30))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], batch.schema.names)
+
+    return data.mapInArrow(run, data.schema)
+
+
+def _with_probabilities(docs: DataFrame, models: list[Model], names: Sequence[str], text: str) -> DataFrame:
+    """docs with a column for each model's probability, in the tasks that read them."""
     from pyspark.sql import types as T
 
     wanted = {x: i for i, x in enumerate(sorted({x for m in models for x in m.terms}))}
@@ -221,23 +266,25 @@ def _with_probabilities(docs: DataFrame, models: list[Model], categories: Sequen
             more = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(bias))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
-    names = [f"_p_{c}" for c in categories]
     schema = T.StructType([*docs.schema.fields, *[T.StructField(x, T.DoubleType()) for x in names]])
     return docs.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CHAIN, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, p_<category>...): one row for each row of docs. Null and empty texts
-    are scored as texts without words; repeated rows give repeated rows; an empty
-    table gives none."""
+    are scored as texts without words; repeated rows give repeated rows, null keys
+    stay null; an empty table gives none. Other columns are not read."""
     models = fit(docs, labels, categories, text=text, key=key)
-    out = _with_probabilities(docs.select(key, text), models, categories, text)
-    return out.select(key, *[F.col(f"_p_{c}").alias(f"p_{c}") for c in categories])
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = _with_probabilities(own, models, [f"p_{i}" for i in range(len(models))], "text")
+    return out.select(F.col("key").alias(key), *[F.col(f"p_{i}").alias(f"p_{c}") for i, c in enumerate(categories)])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, categories: Sequence[str] = CHAIN, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those whose last category is at least as likely as threshold;
-    the columns stay as they were."""
+    the columns stay as they were, whatever their names. Rows are judged one by one
+    by their text (null: empty), so repeated rows go or stay together and a null key
+    makes no difference; an empty table gives an empty table."""
     models = fit(docs, labels, categories, text=text, key=key)
-    scored = _with_probabilities(docs, models, categories, text)
-    return scored.where(F.col(f"_p_{categories[-1]}") < threshold).select(*docs.columns)
+    names = fresh(docs, *[f"p_{c}" for c in categories])
+    return _with_probabilities(docs, models, names, text).where(F.col(names[-1]) < threshold).drop(*names)
