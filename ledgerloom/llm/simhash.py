@@ -213,11 +213,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, t
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(smallest, "root").select("fp", "component_id")
     return fps.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents without near-duplicates: of each component the document with
-    the least id stays, once. Rows with a null id cannot be told apart and stay."""
-    kept = near_duplicates(docs, radius, words, text, key).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.where(F.col(key).isNull()))
