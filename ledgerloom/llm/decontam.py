@@ -1,15 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are runs of PASSAGE words. Their TF-IDF vectors over the benchmark's
-words (others cannot add to a product with an item) get a randomised SVD: Spark
-sums the sketch Z = A'(A G) over all passages of the corpus in one pass, G being
-Gaussian, and the singular vectors L of the words follow from Z and G by the
-Nystroem form. The items are passages of A too, with a weight that gives them
-ITEMS times the energy of the corpus, so that the space holds what sets them apart.
-Every window of the documents (two half passages, so that windows overlap by half)
-is compared with every item by the cosine of their images in that space, taken to
-their full lengths. Near ones are checked word by word: the longest common
-subsequence with the item, and with the item's end, which holds its answer.
+Passages are runs of PASSAGE words over the whole corpus's vocabulary: words of the
+benchmark have numbers of their own, all others share HASHED slots. The TF-IDF matrix
+A of all passages gets a randomised SVD: Spark sums the sketch Z = A'(A G) in one
+pass, G being Gaussian, and the singular vectors L of the words follow from Z and G by
+the Nystroem form. The items' passages are rows of A too, with ITEMS times the energy
+of the corpus, so that the few dimensions that are kept (a third as many as there are
+items) serve to tell items apart. Every window of the documents (two half passages, so
+that windows overlap by half) is compared with every item passage by the cosine of
+their images in that space. Near ones that hold enough of the passage's words are
+checked word by word: the longest common subsequence with the item, and with the
+item's end, which holds its answer.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import drop_table, text_of, written
+from ledgerloom.llm.shared import drop_table, fresh, text_of, written
+from ledgerloom.llm.tokens import Known
 
 #: NEAR: least cosine of a candidate. MATCH, ANSWER: least common share of the item's
-#: words and of its last quarter's. BLOCK: items searched at once; the rank is SPARE
-#: more. Words of any frequency carry weight, so that an item that leaks often is found.
-PASSAGE, ITEMS, NEAR, MATCH, ANSWER, BLOCK, SPARE = 64, 10.0, 0.25, 0.65, 0.5, 1024, 32
+#: words and of its last quarter's. BLOCK: items searched at once. RANK: dimensions, a
+#: third of the items within these bounds. SLACK: share of MATCH that a candidate's
+#: words need before order counts. Words of any frequency carry weight, so that an
+#: item that leaks often is found.
+PASSAGE, HASHED, ITEMS, NEAR, MATCH, ANSWER, BLOCK, RANK, SLACK = 64, 1 << 14, 10.0, 0.55, 0.65, 0.5, 1024, (16, 256), 0.8
+ROWS, WORDS = 1024, 60_000
+FOUND = "doc_id long, same long, item_id long, cosine double, common double, answer double, start long"
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -33,65 +39,104 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class _Ids(dict):
-    """Pieces between blanks to their words' ids as bytes (-1: none of the benchmark's)."""
+def word_number(word: str, vocabulary: dict[str, int]) -> int:
+    import zlib
 
-    def __init__(self, vocabulary: dict[str, int], kind: str, keep: int = 300_000):
-        self.vocabulary, self.kind, self.keep = vocabulary, kind, keep
+    own = vocabulary.get(word)
+    return len(vocabulary) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % HASHED if own is None else own
 
-    def __missing__(self, piece: str) -> bytes:
-        import numpy as np
 
-        out = np.array([self.vocabulary.get(w, -1) for w in _WORD.findall(piece)], self.kind).tobytes()
-        if len(self) >= self.keep:
-            self.clear()
-        self[piece] = out
-        return out
+def _encoded(docs: DataFrame, vocabulary: dict[str, int], text: str, key: str) -> DataFrame:
+    """(doc_id, same, ids): each text's words as numbers, with a hash of the text."""
 
-    def of(self, text: str) -> bytes:
-        return b"".join([self[x] for x in text.lower().split()])
+    def made(pieces):
+        import numpy as np
 
+        own = [[word_number(w, vocabulary) for w in words_of(x)] for x in pieces.to_numpy(zero_copy_only=False)]
+        return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
 
-def _encoded(docs: DataFrame, vocabulary: dict[str, int], kind: str, text: str, key: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        ids = _Ids(vocabulary, kind)
+        known = Known(made, 600_000)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids.of(t) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+            texts, k = batch.column(2), 0
+            size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else []
+            while k < len(texts):  # slices of 8 MB: a word has no blank, so pieces between blanks are taken apart once
+                stop = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + 8_000_000)))
+                cut = pc.split_pattern(texts.slice(k, stop - k), " ")
+                pieces = cut.flatten().dictionary_encode()
+                flat, start, length = known.of(pieces.dictionary)
+                at, of = pieces.indices.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy()))
+                n = length[at]
+                ends = np.append(0, np.cumsum(n))
+                place = np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])
+                raw, ends = pa.py_buffer(flat[place].astype("<u4").tobytes()), ends[of] * 4
+                ids = pa.Array.from_buffers(pa.large_binary(), stop - k, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), raw]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, stop - k), batch.column(1).slice(k, stop - k), ids], ["doc_id", "same", "ids"])
+                k = stop
+
+    return docs.select(F.col(key).cast("long"), F.xxhash64(text_of(text)), text_of(text)).mapInArrow(run, "doc_id long, same long, ids binary")
+
+
+def _parts(column) -> Iterator:
+    """Runs of a batch's documents of about WORDS words: first row, lists of numbers."""
+    import numpy as np
 
-    return docs.select(F.col(key).cast("long"), text_of(text)).mapInArrow(run, "doc_id long, ids binary")
+    own, first, size = [], 0, 0
+    for i, x in enumerate(column):
+        own.append(np.frombuffer(x.as_buffer(), "<u4"))
+        size += len(own[-1])
+        if size >= WORDS:
+            yield first, own
+            own, first, size = [], i + 1, 0
+    if own:
+        yield first, own
 
 
-def _pieces(rows: list[bytes], kind: str, size: int, vocabulary: int):
-    """All pieces of `size` words of these documents: the distinct (piece, word)
-    pairs with their counts, pieces in order, and each document's first piece."""
+def cut(rows: list, size: int, nothing: int):
+    """The rows' pieces of `size` numbers, one below the other, filled up with
+    `nothing`; and how many pieces each row has."""
     import numpy as np
 
-    lengths = np.array([len(r) for r in rows], np.int64) // np.dtype(kind).itemsize
+    lengths = np.array([len(r) for r in rows], np.int64)
     n = -(-lengths // size)
-    first = np.concatenate([[0], np.cumsum(n)])
-    ids = np.frombuffer(b"".join(rows), kind).astype(np.int64)
-    at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    piece = np.repeat(first[:-1], lengths) + at // size
-    known = ids >= 0
-    cell, count = np.unique(piece[known] * vocabulary + ids[known], return_counts=True)
-    return cell // vocabulary, cell % vocabulary, count, first
+    out = np.full(int(n.sum()) * size, nothing, np.int32)
+    begin = (np.cumsum(n) - n) * size
+    for r, b in zip(rows, begin.tolist(), strict=True):
+        out[b : b + len(r)] = r
+    return out.reshape(-1, size), n
+
 
+def _sums(table, pieces):
+    """For each piece the sum of its words' rows of the table."""
+    import numpy as np
+
+    out = np.empty((len(pieces), table.shape[1]), np.float32)
+    for k in range(0, len(pieces), ROWS):
+        table[pieces[k : k + ROWS]].sum(1, out=out[k : k + ROWS])
+    return out
 
-def _frequencies(encoded: DataFrame, kind: str, size: int):
+
+def _frequencies(encoded: DataFrame, size: int):
     """In how many passages each word stands, and how many passages there are."""
     import numpy as np
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total, n = np.zeros(size, np.int64), 0
+        total, n = np.zeros(size + 1, np.int64), 0
         for batch in batches:
-            _, word, _, first = _pieces(batch.column(0).to_pylist(), kind, PASSAGE, size)
-            total += np.bincount(word, minlength=size)
-            n += int(first[-1])
-        at = np.flatnonzero(total)
+            for _, rows in _parts(batch.column(0)):
+                pieces, _ = cut(rows, PASSAGE, size)
+                pieces.sort(axis=1)
+                new = np.ones(pieces.shape, bool)
+                new[:, 1:] = pieces[:, 1:] != pieces[:, :-1]
+                total += np.bincount(pieces[new], minlength=size + 1)
+                n += len(pieces)
+        at = np.flatnonzero(total[:size])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["word", "n"])
 
     out, n = np.zeros(size, np.int64), 0
@@ -103,17 +148,6 @@ def _frequencies(encoded: DataFrame, kind: str, size: int):
     return out, n
 
 
-def _weighted(piece, word, count, idf):
-    """Length-one TF-IDF rows, without words of no weight."""
-    import numpy as np
-
-    use = idf[word] > 0
-    piece, word = piece[use], word[use]
-    w = ((1 + np.log(count[use])) * idf[word]).astype(np.float32)
-    norm = np.sqrt(np.bincount(piece, w * w)) if len(piece) else np.ones(1)
-    return piece, word, w / norm[piece].astype(np.float32)
-
-
 def _row_sums(rows, key):
     """Sums of the rows with equal key (in order): the keys and their sums."""
     import numpy as np
@@ -122,8 +156,20 @@ def _row_sums(rows, key):
     return key[start], np.add.reduceat(rows, start, axis=0)
 
 
-def _sketch(encoded: DataFrame, kind: str, idf, test):
-    """Z = A'(A test) over all passages, a row for each word."""
+def gram(pieces, idf, test):
+    """The keys and rows of A'(A test) for these passages; A has rows of length one."""
+    import numpy as np
+
+    weight = idf[pieces]
+    y = _sums(test * idf[:, None], pieces) / np.maximum((weight**2).sum(1), 1e-9)[:, None]
+    flat = pieces.ravel()
+    by = np.argsort(flat, kind="stable")
+    words, sums = _row_sums(y[by // pieces.shape[1]], flat[by])
+    return words, sums * idf[words][:, None]
+
+
+def _sketch(encoded: DataFrame, idf, test):
+    """Z = A'(A test) over all passages of the corpus, a row for each word."""
     import numpy as np
 
     size, rank = test.shape
@@ -133,24 +179,18 @@ def _sketch(encoded: DataFrame, kind: str, idf, test):
 
         z = np.zeros((size, rank), np.float32)
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            for i in range(0, len(rows), 500):
-                piece, word, count, _ = _pieces(rows[i : i + 500], kind, PASSAGE, size)
-                piece, word, w = _weighted(piece, word, count, idf)
-                if not len(piece):
-                    continue
-                own, y = _row_sums(test[word] * w[:, None], piece)
-                by = np.argsort(word, kind="stable")
-                line = np.searchsorted(own, piece[by])
-                words, sums = _row_sums(y[line] * w[by][:, None], word[by])
-                z[words] += sums
+            for _, rows in _parts(batch.column(0)):
+                pieces, _ = cut(rows, PASSAGE, size - 1)
+                for k in range(0, len(pieces), ROWS):
+                    words, sums = gram(pieces[k : k + ROWS], idf, test)
+                    z[words] += sums
         at = np.flatnonzero(z.any(1))
         flat = pa.array(z[at].astype(np.float64).ravel())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.FixedSizeListArray.from_arrays(flat, rank).cast(pa.list_(pa.float64()))], ["word", "z"])
 
     parts = encoded.select("ids").mapInArrow(run, "word long, z array<double>").groupBy("word")
     out = np.zeros((size, rank))
-    for r in parts.agg(F.array(*[F.sum(F.col("z")[j]) for j in range(rank)]).alias("z")).collect():
+    for r in parts.agg(F.array(*[F.sum(F.col("z")[j]) for j in range(rank)]).alias("z")).toLocalIterator():
         out[r["word"]] = r["z"]
     return out
 
@@ -170,7 +210,7 @@ def latent_words(z, test):
 
 def common_length(a: list[int], b) -> int:
     """Length of the longest common subsequence, a word of b at a time over the
-    bits of a number (those of unknown words, -1, match nothing)."""
+    bits of a number."""
     place: dict[int, int] = {}
     for i, x in enumerate(a):
         place[x] = place.get(x, 0) | 1 << i
@@ -182,82 +222,79 @@ def common_length(a: list[int], b) -> int:
     return len(a) - row.bit_count()
 
 
-def _item_rows(items: list[tuple[int, list[int]]], idf):
-    """The items' TF-IDF rows, of length one (or zero: no word of weight)."""
-    import numpy as np
+def region(item: list[int], passage: int, half_at: int) -> tuple[int, int]:
+    """Where an item whose passage fits the window from half passage half_at on can
+    stand in the document: half a passage is given before and after."""
+    half = PASSAGE // 2
+    return max(0, (half_at - 1) * half - passage * PASSAGE), (half_at + 3) * half + max(0, len(item) - passage * PASSAGE - half)
 
-    out = np.zeros((len(items), len(idf)))
-    for j, (_, ids) in enumerate(items):
-        words, count = np.unique(ids, return_counts=True)
-        out[j, words] = (1 + np.log(count)) * idf[words]
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
-
-def _search(encoded: DataFrame, kind: str, idf, near, items: list[tuple[int, list[int]]]) -> DataFrame:
-    """near: words x items, what a word adds to the product with an item."""
+def _search(encoded: DataFrame, size: int, table, items: list[tuple[int, list[int]]]) -> DataFrame:
+    """table: the words' rows in the latent space times their weight, and a row of zeros."""
     import numpy as np
 
-    half, size = PASSAGE // 2, len(idf)
-    near, has = near.astype(np.float32), [set(x) for _, x in items]
-
-    def candidates(part: list[bytes]):
-        """(document, half passage in it, item, cosine) of the windows near an item."""
-        piece, word, count, first = _pieces(part, kind, half, size)
-        use = idf[word] > 0
-        piece, word = piece[use], word[use]
-        if not len(piece):
+    half, (passages, n) = PASSAGE // 2, cut([x for _, x in items], PASSAGE, len(table) - 1)
+    of, number = np.repeat(np.arange(len(items)), n), np.concatenate([np.arange(k) for k in n])
+    image = _sums(table, passages)
+    length = np.linalg.norm(image, axis=1)
+    image = np.where(length[:, None] > 0, image / np.maximum(length, 1e-9)[:, None], 0).T.astype(np.float32).copy()
+    has = np.zeros((len(table), len(passages)), np.uint8)
+    for j, x in enumerate(passages):
+        has[x[x < size], j] = 1
+    needed = np.ceil(SLACK * MATCH * has.sum(0)).astype(np.int32)
+
+    def candidates(rows: list):
+        """(document, half passage in it, item passage, cosine) of the windows near one."""
+        pieces, n = cut(rows, half, len(table) - 1)
+        if not len(pieces):
             return
-        w = ((1 + np.log(count[use])) * idf[word]).astype(np.float32)
-        product, square = np.zeros((first[-1] + 1, near.shape[1]), np.float32), np.zeros(first[-1] + 1, np.float32)
-        own, sums = _row_sums(near[word] * w[:, None], piece)
-        product[own] = sums
-        square[: first[-1]] = np.bincount(piece, w * w, minlength=first[-1])
-        last = np.zeros(first[-1], bool)
-        last[first[1:][first[1:] > first[:-1]] - 1] = True  # no window runs into the next document
-        square = square[:-1] + np.where(last, 0, square[1:])
-        product = product[:-1] + np.where(last[:, None], 0, product[1:])
-        row, item = np.nonzero(product >= NEAR * np.sqrt(np.maximum(square, 1e-9))[:, None])
-        doc = np.searchsorted(first, row, side="right") - 1
-        yield from zip(doc.tolist(), (row - first[doc]).tolist(), item.tolist(), (product[row, item] / np.sqrt(square[row])).tolist(), strict=True)
+        first = np.append(0, np.cumsum(n))
+        last = np.zeros(len(pieces), bool)
+        last[first[1:][n > 0] - 1] = True  # no window runs into the next document
+        window = np.concatenate([_sums(table, pieces), np.zeros((1, table.shape[1]), np.float32)])
+        window = window[:-1] + np.where(last[:, None], 0, window[1:])
+        window /= np.maximum(np.linalg.norm(window, axis=1), 1e-9)[:, None]
+        doc = np.repeat(np.arange(len(rows)), n)
+        around = np.full((len(pieces) + 3, half), len(table) - 1, np.int32)
+        around[1:-2] = pieces
+        for k in range(0, len(pieces), 8 * ROWS):
+            cosine = window[k : k + 8 * ROWS] @ image
+            row, j = np.nonzero(cosine >= NEAR)
+            if not len(row):
+                continue
+            at, near = row + k, np.zeros(len(row), np.int32)
+            for step in range(4):  # the half passages before, in and after the window
+                near += has[around[at + step], j[:, None]].sum(1, dtype=np.int32)
+            use = near >= needed[j]
+            at, j, row = at[use], j[use], row[use]
+            yield from zip(doc[at].tolist(), (at - first[doc[at]]).tolist(), j.tolist(), cosine[row, j].tolist(), strict=True)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names, types = ["doc_id", "item_id", "cosine", "common", "answer", "start"], [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+        names, types = ["doc_id", "same", "item_id", "cosine", "common", "answer", "start"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
         for batch in batches:
-            keys, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found: dict[tuple[int, int], tuple] = {}
-            for i in range(0, len(rows), 500):
-                part = rows[i : i + 500]
-                for d, p, j, cosine in candidates(part):
-                    mine, have = items[j][1], found.get((i + d, j))
+            for i, rows in _parts(batch.column(2)):
+                for d, p, j, cosine in candidates(rows):
+                    mine, have = items[of[j]][1], found.get((i + d, of[j]))
                     if have and have[1] == 1.0:
                         continue
-                    begin = max(0, p * half - half)
-                    around = np.frombuffer(part[d], kind)[begin : begin + 2 * half + PASSAGE + max(0, len(mine) - half)].tolist()
-                    if len(has[j].intersection(around)) < MATCH * len(has[j]) * 0.8:
-                        continue
-                    common = common_length(mine, around) / len(mine)
+                    begin, stop = region(mine, int(number[j]), p)
+                    text = rows[d][begin:stop].tolist()
+                    common = common_length(mine, text) / len(mine)
                     end = mine[-max(1, len(mine) // 4) :]
-                    if common >= MATCH and (answer := common_length(end, around) / len(end)) >= ANSWER and (not have or common > have[1]):
-                        found[i + d, j] = (cosine, common, answer, begin)
+                    if common >= MATCH and (answer := common_length(end, text) / len(end)) >= ANSWER and (not have or common > have[1]):
+                        found[i + d, of[j]] = (cosine, common, answer, begin)
             if found:
-                out = [(keys[d], items[j][0], *x) for (d, j), x in found.items()]
+                keys, same = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                out = [(keys[d], same[d], items[j][0], *x) for (d, j), x in found.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return encoded.mapInArrow(run, "doc_id long, item_id long, cosine double, common double, answer double, start long")
-
+    return encoded.mapInArrow(run, FOUND)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id, cosine, common, answer, start): the best window of every
-    document that holds an item's words: at least MATCH of them in order, and
-    ANSWER of its last quarter. start: the region's first word in the document.
 
-    Words are runs of letters and digits, lower case. Null or empty texts and items
-    match nothing; rows with a null id are searched and keep the null; repeated
-    rows give repeated rows; items with one id are separate items. Items are taken
-    in blocks of BLOCK, so that no more than a block is held at once.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, key: str) -> DataFrame:
     import numpy as np
 
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text")).where(F.col("text").isNotNull())
@@ -265,23 +302,46 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     for b in range(blocks):
         own = [(r[0], words_of(r[1])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
         own = sorted((x for x in own if x[1]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        if not own:
+            continue
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, x in own for w in x))}
-        kind, size = "<i2" if len(vocabulary) < 32_000 else "<i4", max(1, len(vocabulary))
-        encoded = written(_encoded(docs, vocabulary, kind, text, key), "encoded-passages")
-        df, n = _frequencies(encoded, kind, size)
-        idf = np.where(df > 0, np.log((n + 1) / (df + 1)) + 1, 0.0)
+        size = len(vocabulary) + HASHED
+        encoded = written(_encoded(docs, vocabulary, text, key), "encoded-passages")
+        df, n = _frequencies(encoded, size)
+        idf = np.append(np.where(df > 0, np.log((n + 1) / (df + 1)) + 1, 0.0), 0.0).astype(np.float32)
         coded = [(k, [vocabulary[w] for w in x]) for k, x in own]
-        test = np.random.default_rng(7).standard_normal((size, min(len(own) + SPARE, size))).astype(np.float32)
-        rows = _item_rows(coded, idf)
-        z = _sketch(encoded, kind, idf, test) + ITEMS * n / max(1, len(own)) * (rows.T @ (rows @ test))
-        latent = latent_words(z, test.astype(float))
-        found = written(_search(encoded, kind, idf, latent @ (latent.T @ rows.T), coded), "contaminated")
+        test = np.random.default_rng(7).standard_normal((size + 1, min(max(len(own) // 3, RANK[0]), RANK[1]))).astype(np.float32)
+        test[size] = 0
+        z = _sketch(encoded, idf, test)
+        passages, _ = cut([x for _, x in coded], PASSAGE, size)
+        words, sums = gram(passages, idf, test)
+        z[words] += sums * (ITEMS * max(n, 1) / len(passages))
+        latent = latent_words(z, test.astype(float)) * idf[:, None]
+        latent[size] = 0
+        found = written(_search(encoded, len(vocabulary), latent.astype(np.float32), coded), "contaminated")
         drop_table(encoded)
         out = found if out is None else out.unionAll(found)
-    return out
+    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, item_id, cosine, common, answer, start): the best window of every
+    document that holds an item's words: at least MATCH of them in order, and
+    ANSWER of its last quarter. start: the region's first word in the document.
+
+    Words are runs of letters and digits, lower case. Null or empty texts and items
+    match nothing; rows with a null id are searched and keep the null; repeated
+    rows give repeated rows; items with one id are separate items; an empty table on
+    either side gives no rows. Other columns are not read. Items are taken in blocks
+    of BLOCK, so that no more than a block is held at once.
+    """
+    return _found(docs, benchmark, text, key).drop("same")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without those that hold a benchmark item; rows with a null id stay."""
-    bad = contaminated(docs, benchmark, text, key).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(key) == F.col("_bad"), "left_anti")
+    """docs without the texts that hold a benchmark item; other texts under the same
+    id stay, and so do rows with a null id. Columns stay as they are, whatever their
+    names; an empty table on either side takes nothing away."""
+    bad_id, bad_text = fresh(docs, "bad_id", "bad_text")
+    bad = _found(docs, benchmark, text, key).select(F.col("doc_id").alias(bad_id), F.col("same").alias(bad_text)).distinct()
+    return docs.join(bad, (F.col(key) == F.col(bad_id)) & (F.xxhash64(text_of(text)) == F.col(bad_text)), "left_anti")

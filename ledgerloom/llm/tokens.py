@@ -50,7 +50,7 @@ def _gathered(flat, starts, lengths):
     return flat[at]
 
 
-class _Known:
+class Known:
     """Distinct strings and their ids, kept between slices up to `keep` of them.
     made(strings) gives the ids of new ones, and each one's length."""
 
@@ -104,7 +104,7 @@ class Encoder:
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printed)))}
         self.shown = {b: shown[b] for b in range(256)}
-        self.words, self.units = _Known(self._of_words, WORDS), _Known(self._of_units, UNITS)
+        self.words, self.units = Known(self._of_words, WORDS), Known(self._of_units, UNITS)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
