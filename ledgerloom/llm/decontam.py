@@ -163,7 +163,7 @@ def gram(pieces, idf, test):
     weight = idf[pieces]
     y = _sums(test * idf[:, None], pieces) / np.maximum((weight**2).sum(1), 1e-9)[:, None]
     flat = pieces.ravel()
-    by = np.argsort(flat, kind="stable")
+    by = np.argsort(flat.astype(np.uint16) if len(test) < 1 << 16 else flat, kind="stable")  # small numbers are sorted by their digits
     words, sums = _row_sums(y[by // pieces.shape[1]], flat[by])
     return words, sums * idf[words][:, None]
 
@@ -238,10 +238,9 @@ def _search(encoded: DataFrame, size: int, table, items: list[tuple[int, list[in
     image = _sums(table, passages)
     length = np.linalg.norm(image, axis=1)
     image = np.where(length[:, None] > 0, image / np.maximum(length, 1e-9)[:, None], 0).T.astype(np.float32).copy()
-    has = np.zeros((len(table), len(passages)), np.uint8)
-    for j, x in enumerate(passages):
-        has[x[x < size], j] = 1
-    needed = np.ceil(SLACK * MATCH * has.sum(0)).astype(np.int32)
+    passages = np.where(passages < size, passages, size)
+    # So many words of the passage have to stand around its window, in any order.
+    needed = np.ceil(np.where(n[of] > 1, SLACK, 1.0) * MATCH * (passages < size).sum(1)).astype(np.int32)
 
     def candidates(rows: list):
         """(document, half passage in it, item passage, cosine) of the windows near one."""
@@ -257,16 +256,18 @@ def _search(encoded: DataFrame, size: int, table, items: list[tuple[int, list[in
         doc = np.repeat(np.arange(len(rows)), n)
         around = np.full((len(pieces) + 3, half), len(table) - 1, np.int32)
         around[1:-2] = pieces
-        for k in range(0, len(pieces), 8 * ROWS):
-            cosine = window[k : k + 8 * ROWS] @ image
+        for k in range(0, len(pieces), 2 * ROWS):
+            cosine = window[k : k + 2 * ROWS] @ image
             row, j = np.nonzero(cosine >= NEAR)
             if not len(row):
                 continue
-            at, near = row + k, np.zeros(len(row), np.int32)
+            windows, of_pair = np.unique(row, return_inverse=True)
+            there = np.zeros((len(windows), size + 1), bool)
             for step in range(4):  # the half passages before, in and after the window
-                near += has[around[at + step], j[:, None]].sum(1, dtype=np.int32)
-            use = near >= needed[j]
-            at, j, row = at[use], j[use], row[use]
+                there[np.arange(len(windows))[:, None], np.minimum(around[windows + k + step], size)] = True
+            there[:, size] = False
+            use = there[of_pair[:, None], passages[j]].sum(1) >= needed[j]
+            at, j, row = row[use] + k, j[use], row[use]
             yield from zip(doc[at].tolist(), (at - first[doc[at]]).tolist(), j.tolist(), cosine[row, j].tolist(), strict=True)
 
     def run(batches: Iterator) -> Iterator:
