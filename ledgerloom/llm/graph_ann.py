@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product over robust-pruned directed graphs.
 
-Rows are dealt by hash into shards of about SHARD. Each shard gets a graph: rows
-are inserted in batches; a greedy beam search from the entry point proposes a
+Rows with equal vectors are one point, with the k + 1 smallest of their ids (no more
+can be among the k nearest). Points are dealt by hash into shards of about SHARD. Each
+shard gets a graph: points are inserted in batches; a greedy beam search from the entry point proposes a
 row's neighbours, and relaxed distance pruning keeps a proposal only if no kept
 neighbour is ALPHA times nearer to it than the row is. A query's beam search walks
 every shard's graph, and the shards' best are merged.
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import drop_table, written
+from ledgerloom.llm.shared import written
 
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, BATCH, QUERIES = 8192, 32, 64, 96, 1.2, 512, 4096
 
@@ -141,27 +142,40 @@ def build(points, degree: int = DEGREE, width: int = BUILD_BEAM, alpha: float =
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(id, v): rows with a key and a vector of finite components, not all zero."""
-    v = F.col(column).cast("array<double>")
+    """(id, v): the distinct rows with a key and a vector of finite components, not all
+    zero. A negative zero counts as zero."""
+    v = F.transform(F.col(column).cast("array<double>"), lambda x: x + F.lit(0.0))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
+    return rows.groupBy("id", F.xxhash64("v").alias("h"), "v").agg(F.size("v").alias("dim"))
 
 
-def _shards(rows: DataFrame, shards: int, largest: float) -> DataFrame:
-    """A row for each shard: its ids, vectors and graph as bytes."""
+def points(rows: DataFrame, k: int) -> DataFrame:
+    """(dim, ids, id, v): distinct vectors with the k + 1 smallest ids that have them,
+    in order. A hot vector is cut down to so many rows before the shuffle."""
+    place = F.dense_rank().over(Window.partitionBy("h", "v").orderBy("id")).alias("place")
+    kept = rows.select("dim", "h", "v", "id", place).where(F.col("place") <= k + 1)
+    return kept.groupBy("dim", "h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("dim", "ids", F.col("ids")[0].alias("id"), "v")
+
+
+def _shards(dealt: DataFrame, shards: int) -> DataFrame:
+    """A row for each shard: its points' ids, vectors and graph as bytes."""
     import pandas as pd
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         pdf = pdf.sort_values("id", kind="stable")
-        x = np.vstack(pdf["v"].to_numpy()).astype(np.float32)
-        more = np.sqrt(np.maximum(largest - (x.astype(float) ** 2).sum(1), 0)).astype(np.float32)
-        graph, entry = build(np.hstack([x, more[:, None]]))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "points": [np.hstack([x, more[:, None]]).tobytes()], "vectors": [np.vstack(pdf["v"].to_numpy()).astype(np.float64).tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entry": [entry.astype(np.int64).tobytes()]})
+        v = np.vstack(pdf["v"].to_numpy()).astype(np.float64)
+        x = v.astype(np.float32)
+        more = np.sqrt(np.maximum(pdf["largest"].iloc[0] - (x.astype(float) ** 2).sum(1), 0)).astype(np.float32)
+        x = np.hstack([x, more[:, None]])
+        graph, entry = build(x)
+        ids, count = np.concatenate(pdf["ids"].to_numpy()).astype(np.int64), pdf["ids"].str.len().to_numpy(np.int64)
+        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "ids": [ids.tobytes()], "count": [count.tobytes()], "points": [x.tobytes()], "vectors": [v.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entry": [entry.astype(np.int64).tobytes()]})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(make, "shard int, ids binary, points binary, vectors binary, graph binary, entry binary")
+    schema = "dim int, shard int, ids binary, count binary, points binary, vectors binary, graph binary, entry binary"
+    return dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(make, schema)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", column: str = "embedding", shard_rows: int = SHARD, beam: int = BEAM) -> DataFrame:
@@ -170,18 +184,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     smaller key.
 
     Rows with a null key, or with vectors that are null, zero or hold null or
-    non-finite components, take no part. All vectors have one length. Rows that
-    repeat a key are separate candidates; of equal ids found for a query the best
-    one counts once. Fewer candidates than k: all that are found; an empty table
-    gives none. Queries reach the shards in blocks of QUERIES.
+    non-finite components, take no part. A query is compared with the vectors of its
+    own length only. Rows that repeat a key with another vector are separate
+    candidates; of equal ids found for a query the best one counts once, and repeated
+    rows count once. Fewer candidates than k: all that are found; an empty table gives
+    none. Other columns are not read. Queries reach the shards in blocks of QUERIES.
     """
-    rows = written(usable(vectors, key, column), "vectors")
-    n, largest = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    shards = max(1, -(-n // shard_rows))
-    graphs = written(_shards(rows, shards, float(largest or 0.0)), "graphs")
-    asked = usable(queries, key, column).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-n // (20 * QUERIES))))).cast("int"))
-    blocks = asked.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    every = blocks.select("queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    distinct = written(points(usable(vectors, key, column), k), "points")
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    lengths = distinct.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.max(square).alias("largest"))
+    total = int(lengths.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0])
+    dealt = distinct.join(lengths, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    graphs = written(_shards(dealt, total), "graphs")
+    asked = usable(queries, key, column)
+    blocks = max(1, -(-asked.count() // QUERIES))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    asked = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries")).join(lengths, "dim")
+    every = asked.select("dim", "queries", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
 
     def walk(batches: Iterator) -> Iterator:
         import numpy as np
@@ -189,7 +208,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
 
         for batch in batches:
             for r in batch.to_pylist():
-                ids, vs = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(len(r["ids"]) // 8, -1)
+                count, flat = np.frombuffer(r["count"], np.int64), np.frombuffer(r["ids"], np.int64)
+                begin = np.cumsum(count) - count
+                ids, vs = flat[begin], np.frombuffer(r["vectors"]).reshape(len(count), -1)
                 points, graph = np.frombuffer(r["points"], np.float32).reshape(len(ids), -1), np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1)
                 norms, entry = (points**2).sum(1), np.frombuffer(r["entry"], np.int64)
                 own, q = np.array([x["id"] for x in r["queries"]]), np.array([x["v"] for x in r["queries"]], float)
@@ -200,13 +221,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
                     score = np.zeros(found.shape)
                     for j in range(q.shape[1]):
                         score += q[i : i + BATCH, j, None] * vs[np.maximum(found, 0), j]
-                    score[(found < 0) | (ids[np.maximum(found, 0)] == own[i : i + BATCH, None])] = -np.inf
-                    order = np.lexsort((ids[np.maximum(found, 0)], -score), axis=1)[:, :k]
+                    score[(found < 0) | ((ids[np.maximum(found, 0)] == own[i : i + BATCH, None]) & (count[np.maximum(found, 0)] == 1))] = -np.inf
+                    order = np.lexsort((ids[np.maximum(found, 0)], -score), axis=1)[:, : k + 1]
                     score, found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
                     at, col = np.nonzero(np.isfinite(score))
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i + at]), pa.array(ids[found[at, col]]), pa.array(score[at, col])], ["query_id", "vec_id", "score"])
-
-    met = graphs.join(every.hint("merge"), "shard").select("ids", "points", "vectors", "graph", "entry", "queries")
-    found = met.mapInArrow(walk, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                    point = found[at, col]
+                    n = count[point]
+                    place = np.repeat(begin[point] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[i + at], n)), pa.array(flat[place]), pa.array(np.repeat(score[at, col], n))], ["query_id", "vec_id", "score"])
+
+    met = graphs.repartition(total, "dim", "shard").join(every.repartition(total, "dim", "shard").hint("merge"), ["dim", "shard"])
+    found = met.select("ids", "count", "points", "vectors", "graph", "entry", "queries").mapInArrow(walk, "query_id long, vec_id long, score double").where("query_id <> vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return found.select("query_id", best, "vec_id", "score").where(F.col("rank") <= k)
