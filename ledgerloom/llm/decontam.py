@@ -60,12 +60,12 @@ def _encoded(docs: DataFrame, vocabulary: dict[str, int], text: str, key: str) -
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        known = Known(made, 600_000)
+        known = Known(made, 250_000)
         for batch in batches:
             texts, k = batch.column(2), 0
             size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else []
-            while k < len(texts):  # slices of 8 MB: a word has no blank, so pieces between blanks are taken apart once
-                stop = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + 8_000_000)))
+            while k < len(texts):  # slices of 4 MB: a word has no blank, so pieces between blanks are taken apart once
+                stop = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + 4_000_000)))
                 cut = pc.split_pattern(texts.slice(k, stop - k), " ")
                 pieces = cut.flatten().dictionary_encode()
                 flat, start, length = known.of(pieces.dictionary)

@@ -19,7 +19,7 @@ from array import array
 from collections.abc import Iterator
 
 #: Words and units that a worker remembers, and bytes of text that are taken at once.
-WORDS, UNITS, SLICE = 600_000, 700_000, 8_000_000
+WORDS, UNITS, SLICE = 250_000, 350_000, 4_000_000
 #: A space that white space or the end follows: such a text is cut by _CUT.
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _LOOSE = rf" (?:[{_SPACES}]|$)"
