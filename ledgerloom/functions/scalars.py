@@ -52,15 +52,16 @@ def asinh_pnl(x: Column | str) -> Column:
     return F.asinh(column(x) / PNL_SCALE)
 
 
-def bucket(key: Column | str, n: int) -> Column:
+def bucket(key: Column | str, n: int | Column) -> Column:
     """A bucket that any engine can compute: the first 32 bits of the md5, modulo n."""
     return (F.conv(F.substring(F.md5(column(key)), 1, 8), 16, 10).cast("long") % n).cast("long")
 
 
 def project_path(path: Column | str, marker: str) -> Column:
-    """Slashes one way, and all up to the marker (in any case) cut off."""
+    """Slashes one way, and all up to the first "marker/" (in any case, also as the
+    end of a longer name) cut off; paths without it keep all but their slashes."""
     slashes = F.regexp_replace(column(path), r"\\", "/")
-    return F.regexp_replace(slashes, rf"(?i)^.*/{marker}/", "")
+    return F.regexp_replace(slashes, rf"(?is)^.*?\Q{marker}\E/", "")
 
 
 def sigmoid(x: Column | str) -> Column:

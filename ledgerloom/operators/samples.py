@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The token columns of a market window and of the dual sample.
+from ledgerloom.functions import scalars as S
+
+#: The token columns of a market window and of the dual sample's two
+#: sides. Models read them by their place, so the order counts.
 MARKET_COLUMNS = ["p_yes", "dp_yes_clip", "log_dt", "log_usdc_size", "user_recent_pnl_asinh", "user_avg_size_log", "user_days_active_log", "user_hist_pnl_asinh", "user_hist_winrate", "user_pnl_std_log"]
-DUAL_COLUMNS = ["price", "outcome_index", *MARKET_COLUMNS]
-USER_COLUMNS = ["price", "outcome_index", "dt_user"]
+DUAL_COLUMNS = ["price", "p_yes", "outcome_index", "dp_yes_clip", "log_dt", "log_usdc_size", "user_recent_pnl_asinh", "user_avg_size_log", "user_days_active_log", "user_hist_pnl_asinh", "user_hist_winrate", "user_pnl_std_log"]
+USER_COLUMNS = ["price", "p_yes", "outcome_index"]
 UNKNOWN = 0.5
 
 
@@ -22,12 +25,13 @@ def numbered(tokens: DataFrame, key: str = "market_id") -> DataFrame:
 
 def cutoff(n: Column, key: Column, min_prefix: int, mode: str, epoch: int) -> Column:
     """The last place of a sample: the key's last token ("last"), or uniform from
-    min_prefix - 1 on by a hash of key and epoch ("hash")."""
+    min_prefix - 1 on by a hash of key and epoch ("hash"), one that any engine can
+    compute."""
     last = n - 1
     if mode == "last":
         return last
     low = F.least(F.lit(min_prefix - 1).cast("long"), last)
-    return low + F.pmod(F.xxhash64(key, F.lit(epoch)), last - low + 1)
+    return low + S.bucket(F.concat(key, F.lit(f":{epoch}")), last - low + 1)
 
 
 def _padded(seq: Column, zero: Column, length: int) -> Column:
@@ -100,5 +104,5 @@ def last_real(values: str, mask: str) -> Column:
 def targets(samples: DataFrame) -> DataFrame:
     """Label, price and outcome of each dual sample's target token, labels known only."""
     x = last_real("market_x", "market_mask")
-    rows = samples.select("split", "market_id", last_real("market_y", "market_mask").alias("y"), x[0].alias("price"), x[1].cast("int").alias("outcome_index"))
+    rows = samples.select("split", "market_id", last_real("market_y", "market_mask").alias("y"), x[0].alias("price"), x[DUAL_COLUMNS.index("outcome_index")].cast("int").alias("outcome_index"))
     return rows.where(F.col("y") != UNKNOWN)

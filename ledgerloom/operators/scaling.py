@@ -13,14 +13,17 @@ UNSCALED = ("price", "outcome_index", "time_of_day_sin", "time_of_day_cos")
 
 
 def feature_columns(columns: Sequence[str]) -> list[str]:
-    missing = {"edge", "label_y"} - set(columns)
+    """The features among the columns. price and edge have to be there; label_y need
+    not, as it follows from them."""
+    missing = {"price", "edge"} - set(columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
     return [c for c in columns if c not in NOT_FEATURES]
 
 
 def scaled_columns(columns: Sequence[str]) -> list[str]:
-    return [c for c in feature_columns(columns) if c not in UNSCALED]
+    """The features that are standardised: not the bounded ones, nor marks of what is missing."""
+    return [c for c in feature_columns(columns) if c not in UNSCALED and not c.endswith("_missing")]
 
 
 def _finite(c: str) -> Column:
@@ -58,5 +61,5 @@ def shuffled_batches(rows: DataFrame, seed: int, batch: int) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """A repeatable sample: the n rows of the least hashes."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), "trade_uid"), "trade_uid").limit(n)
+    """A repeatable sample: the n rows of the least hashes of seed and id."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "trade_uid")), "trade_uid").limit(n)

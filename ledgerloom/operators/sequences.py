@@ -49,10 +49,11 @@ def user_tokens(features: DataFrame, market_index: DataFrame) -> DataFrame:
     )
 
 
-def user_history(features_by_split: list[DataFrame]) -> DataFrame:
-    """The flat history of all splits: outcome -1 where there is no label."""
-    rows = features_by_split[0]
-    for more in features_by_split[1:]:
+def user_history(*features: DataFrame) -> DataFrame:
+    """The flat history of feature tables (one for each split, or one with all of
+    them): outcome -1 where there is no label."""
+    rows = features[0]
+    for more in features[1:]:
         rows = rows.unionByName(more)
     return rows.select(
         S.bucket("user_id", S.USER_BUCKETS).alias("user_hash"), "timestamp", "market_id", F.col("price").cast("float").alias("price"),
@@ -78,4 +79,4 @@ def flat_index(history: DataFrame, groups: int = 1024) -> DataFrame:
     ranges = rows.groupBy("_range").agg(F.sum("num_trades").alias("_all"))
     ranges = ranges.select("_range", (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_base"))
     within = F.sum("num_trades").over(Window.partitionBy("_range").orderBy("user_hash"))
-    return rows.join(F.broadcast(ranges), "_range").select("user_hash", (F.col("_base") + within - F.col("num_trades")).alias("start_row"), "num_trades")
+    return rows.join(ranges, "_range").select("user_hash", (F.col("_base") + within - F.col("num_trades")).alias("start_row"), "num_trades")

@@ -23,6 +23,7 @@ from ledgerloom.operators import sequences as Q
 from ledgerloom.operators import trade_features as E
 from ledgerloom.plans import feature_table
 from ledgerloom.sources import fixture, trades as A
+from ledgerloom.sources.shared import shared_folder, written
 from ledgerloom.sql import ORACLE_SQL
 from ledgerloom.streaming import features as J
 
@@ -68,13 +69,19 @@ def _tokens(s: SparkSession, d: str) -> DataFrame:
     return Q.market_tokens(_features(s, d), _meta(s, d))
 
 
+def _both_tokens(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Market and user tokens from one feature table, computed once."""
+    features = written(_features(s, d), "features")
+    tokens = written(Q.market_tokens(features, _meta(s, d)), "market-tokens")
+    return tokens, Q.user_tokens(features, Q.index(tokens, "market_id", "y"))
+
+
 def _user_tokens(s: SparkSession, d: str) -> DataFrame:
-    return Q.user_tokens(_features(s, d), Q.index(_tokens(s, d), "market_id", "y"))
+    return _both_tokens(s, d)[1]
 
 
 def _history(s: SparkSession, d: str) -> DataFrame:
-    rows = _split_features(s, d).where("split IS NOT NULL")
-    return Q.user_history([rows.where(F.col("split") == x) for x in ("train", "val", "test")])
+    return Q.user_history(_split_features(s, d).where("split IS NOT NULL"))
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
@@ -188,11 +195,28 @@ def market_windows(s, d):
     return rows.select("split", "market_id", "slot", F.col("t.market_mask").alias("mask"), F.col("t.market_y").alias("y"), *x)
 
 
+def _dual(s: SparkSession, d: str, mode: str = "last", mask_mode: str = "own_time", epoch: int = 0) -> DataFrame:
+    """Both sides of the dual samples, a row for each slot, values by their place
+    (x0, x1, ...; null beyond the user side's)."""
+    rows = P.dual_samples(*_both_tokens(s, d), WINDOW, USER_WINDOW, mask_mode=mask_mode, mode=mode, epoch=epoch)
+    side = lambda x: F.transform(F.arrays_zip(F.col(f"{x}_x").alias("x"), F.col(f"{x}_mask").alias("mask"), F.col(f"{x}_y").alias("y"), F.sequence(F.lit(0), F.size(f"{x}_x") - 1).alias("slot")), lambda t: F.struct(F.lit(x).alias("side"), t["slot"].alias("slot"), t["x"].alias("x"), t["mask"].alias("mask"), t["y"].alias("y")))
+    rows = rows.select("split", "market_id", F.explode(F.concat(side("market"), side("user"))).alias("t"))
+    x = [F.round(F.get(F.col("t.x"), i).cast("double"), 4).alias(f"x{i}") for i in range(len(P.DUAL_COLUMNS))]
+    return rows.select("split", "market_id", "t.side", "t.slot", "t.mask", F.col("t.y").alias("y"), *x)
+
+
 def dual_samples(s, d):
-    rows = P.dual_samples(_tokens(s, d), _user_tokens(s, d), WINDOW, USER_WINDOW)
-    rows = rows.select("split", "market_id", F.posexplode(F.arrays_zip("user_x", "user_mask", "user_y")).alias("slot", "t"))
-    x = [F.col("t.user_x")[i].cast("double").alias(c) for i, c in enumerate([*P.USER_COLUMNS, "label"])]
-    return rows.select("split", "market_id", "slot", F.col("t.user_mask").alias("mask"), F.col("t.user_y").alias("y"), *[F.round(c, 4).alias(n) for c, n in zip(x, [*P.USER_COLUMNS, "label"], strict=True)])
+    return _dual(s, d)
+
+
+def dual_samples_asof(s, d):
+    return _dual(s, d, mask_mode="asof").where("side = 'user'").select("split", "market_id", "slot", "mask", "y", "x0", "x1", "x2", "x3")
+
+
+def market_cutoffs(s, d):
+    """Where the sample of each market ends when the cutoff is drawn by a hash."""
+    rows = P.numbered(_tokens(s, d)).where("n >= 10").select("split", "market_id", "n").distinct()
+    return rows.select("split", "market_id", "n", P.cutoff(F.col("n"), F.col("market_id"), 10, "hash", 3).alias("cut"))
 
 
 def target_tokens(s, d):
@@ -203,9 +227,19 @@ def auc(s, d):
     return X.auc(_scored(s, d))
 
 
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    """Paths of several makes: the marker first, within, in a longer name, twice, not at all."""
+    heads = ["C:\\work\\LedgerLoom/data\\", "ledgerloom/data/", "E:/my-LEDGERLOOM\\d/", "/x/ledgerloom/a/ledgerloom/b/", "data\\only/"]
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("trade_uid").cast("long") % len(heads) + 1).cast("int"))
+    return fixture.trades(s, d).select("trade_uid", F.concat(head, "condition_id", F.lit("/part_"), "trade_uid").alias("path"))
+
+
 def path_normalize(s, d):
-    rows = fixture.trades(s, d).select("trade_uid", F.concat(F.lit("C:\\work\\LedgerLoom/data\\"), "condition_id", F.lit("/part_"), "trade_uid").alias("path"))
-    return rows.select("trade_uid", S.project_path("path", "ledgerloom").alias("path"))
+    return _paths(s, d).select("trade_uid", S.project_path("path", "ledgerloom").alias("path"))
+
+
+def path_report(s, d):
+    return M.path_report(_paths(s, d), "ledgerloom")
 
 
 def hash_buckets(s, d):
@@ -217,7 +251,8 @@ def core_metrics(s, d):
 
 
 def metrics_by_split(s, d):
-    return X.core_metrics(X.known(_scored(s, d)), ["split"]).join(X.auc(_scored(s, d), ["split"]).select("split", "auc"), "split")
+    rows = written(_scored(s, d), "scored")
+    return X.core_metrics(X.known(rows), ["split"]).join(X.auc(rows, ["split"]).select("split", "auc"), "split")
 
 
 def profit_threshold(s, d):
@@ -238,8 +273,7 @@ def confidence_signals(s, d):
 
 
 def first_batch(s, d):
-    """a repeatable limit, by the id's md5."""
-    return _scored(s, d).orderBy(F.md5("trade_uid"), "trade_uid").limit(100).select("trade_uid", "price")
+    return N.first_rows(_scored(s, d), 100).select("trade_uid", "price")
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
@@ -250,7 +284,7 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
 def stream_features(s, d):
     import uuid
 
-    at = f"{(s.conf.get('spark.checkpoint.dir', None) or 'file:///tmp').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     user = J.run_to_table(J.keyed_features(_streamed(s, d), "user_id"), f"{at}/user", f"{at}/user-state")
     market = J.run_to_table(J.keyed_features(_streamed(s, d), "market_id"), f"{at}/market", f"{at}/market-state")
     return user.drop("user_id", "timestamp").join(market.drop("market_id"), "trade_uid")
@@ -270,7 +304,7 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trades_valid, trades_resume_after, market_effective_end, iso_times, trade_local_features, user_lifetime, user_size_stats,
         user_burstiness, user_realized_pnl, market_lifetime, market_price_moves, market_hour_stats, market_hour_sweep, market_hour_traders,
         pair_hour, pair_lifetime, feature_vectors, baseline_model_scores, model_report, market_index, user_index, market_windows, dual_samples,
-        target_tokens, auc, path_normalize, hash_buckets, metrics_by_split, profit_threshold, profit_sweep, confidence_metrics,
+        dual_samples_asof, market_cutoffs, target_tokens, auc, path_normalize, path_report, hash_buckets, metrics_by_split, profit_threshold, profit_sweep, confidence_metrics,
         confidence_signals, first_batch, stream_features, hour_sliding, user_sessions,
     )
 } | {
@@ -279,7 +313,7 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "temporal_split": _splits,
     "market_meta": _meta,
     "split_features": lambda s, d: _split_features(s, d).select("trade_uid", "market_id", "split", "label_y"),
-    "unknown_markets": lambda s, d: M.unknown_markets(_features(s, d), _meta(s, d)),
+    "unknown_markets": lambda s, d: M.unknown_markets(_base(s, d), _meta(s, d)),
     "split_counts": lambda s, d: M.split_counts(_split_features(s, d)),
     "norm_stats": lambda s, d: N.norm_stats(_split_features(s, d).where("split = 'train'"), N.scaled_columns([*feature_table.COLUMNS, "label_y"])),
     "standardized": lambda s, d: _standard(s, d)[0].select("trade_uid", "split", "dt_trade", "user_total_volume_before", "market_volatility_1h", "price"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 2_000_000
+CHUNK_ROWS, META = 2_000_000, "_market_meta.parquet"
 #: Shards of the sequence stores.
 SHARDS = {"train": 256, "val": 64, "test": 64}
 
@@ -16,16 +16,20 @@ def write_features(features: DataFrame, path: str, rows_per_file: int = CHUNK_RO
     features.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def write_by_split(features: DataFrame, path: str) -> None:
-    """One folder a split; rows without a split are left out."""
+def write_by_split(features: DataFrame, path: str, meta: DataFrame | None = None) -> None:
+    """One folder a split; rows without a split are left out. The markets' metadata, if
+    given, goes into the same folder under a name that reads of the features skip."""
     features.where(F.col("split").isNotNull()).write.partitionBy("split").parquet(path)
+    if meta is not None:
+        meta.write.parquet(f"{path}/{META}")
 
 
-def write_sequences(tokens: DataFrame, path: str, key: str, files: int = 64) -> None:
+def write_sequences(tokens: DataFrame, path: str, key: str, files: int = sum(SHARDS.values()), row_group_bytes: int = 8 << 20) -> None:
     """Sharded store: files of one (split, shard), sorted by key and time, in zstd.
-    One pass: rows go to their shard's task and are sorted there."""
+    One pass: rows go to their shard's task (one for each shard) and are sorted there.
+    Row groups of row_group_bytes: small ones let a key be read without its neighbours."""
     rows = tokens.repartition(files, "split", "shard").sortWithinPartitions("split", "shard", key, "timestamp", "trade_uid")
-    rows.write.partitionBy("split", "shard").option("compression", "zstd").parquet(path)
+    rows.write.partitionBy("split", "shard").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(path)
 
 
 def write_user_history(history: DataFrame, path: str) -> None:

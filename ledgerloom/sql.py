@@ -187,6 +187,21 @@ def _stats() -> str:
     return VIEWS + ", t AS (SELECT g.* FROM g JOIN meta ON meta.market_id = g.market_id WHERE split = 'train') " + " UNION ALL ".join(rows)
 
 
+#: The dual sample's market side by place, as models read it.
+DUAL_WINDOW = ("price", "p_yes", "outcome_index", "dp_yes_clip", "log_dt", "log_usdc_size", "user_recent_pnl_asinh", "user_avg_size_log", "user_days_active_log", "user_hist_pnl_asinh", "user_hist_winrate", "user_pnl_std_log")
+DUAL = f"""{TOKENS}, target AS (SELECT r.split, r.market_id, r.timestamp AS tts, u.user_id FROM ranked r JOIN user_tokens u USING (trade_uid) WHERE back = 1 AND n >= 10),
+  past AS (SELECT a.split, a.market_id, a.tts, u.*EXCLUDE (split, market_id), row_number() OVER (PARTITION BY a.split, a.market_id ORDER BY u.timestamp DESC, u.trade_uid DESC) AS back
+    FROM target a JOIN user_tokens u ON u.split = a.split AND u.user_id = a.user_id AND u.timestamp < a.tts),
+  user_side AS (SELECT t.split, t.market_id, s.slot, h.back IS NOT NULL AS mask, h.price, h.p_yes, h.outcome_index,
+      CASE WHEN h.timestamp >= h.market_resolve_time THEN CAST(h.y AS DOUBLE) ELSE 0.5e0 END AS y, CASE WHEN h.market_resolve_time <= h.tts THEN CAST(h.y AS DOUBLE) ELSE 0.5e0 END AS y_asof
+    FROM target t CROSS JOIN (SELECT CAST(unnest(range(16)) AS BIGINT) AS slot) s LEFT JOIN past h ON h.split = t.split AND h.market_id = t.market_id AND h.back = 16 - s.slot),
+  market_side AS (SELECT t.split, t.market_id, s.slot, r.back IS NOT NULL AS mask, coalesce(CAST(r.y AS DOUBLE), 0.5e0) AS y, r.* EXCLUDE (split, market_id, y)
+    FROM target t CROSS JOIN (SELECT CAST(unnest(range(32)) AS BIGINT) AS slot) s LEFT JOIN ranked r ON r.split = t.split AND r.market_id = t.market_id AND r.back = 32 - s.slot)"""
+
+PATHS = f"""{VIEWS}, made AS (
+  SELECT trade_uid, concat(['C:\\work\\LedgerLoom/data\\', 'ledgerloom/data/', 'E:/my-LEDGERLOOM\\d/', '/x/ledgerloom/a/ledgerloom/b/', 'data\\only/'][CAST(trade_uid AS BIGINT) % 5 + 1], market_id, '/part_', trade_uid) AS old FROM trades
+), cut AS (SELECT *, replace(old, chr(92), '/') AS p, position('ledgerloom/' IN lower(replace(old, chr(92), '/'))) AS place FROM made),
+fixed AS (SELECT *, CASE WHEN place > 0 THEN substr(p, place + 11) ELSE p END AS new FROM cut)"""
 WINDOW_COLUMNS = "p_yes dp_yes_clip log_dt log_usdc_size user_recent_pnl_asinh user_avg_size_log user_days_active_log user_hist_pnl_asinh user_hist_winrate user_pnl_std_log".split()
 
 ORACLE_SQL: dict[str, str] = {
@@ -229,13 +244,11 @@ ORACLE_SQL: dict[str, str] = {
     "market_windows": f"""{TOKENS}, long AS (SELECT split, market_id, max(y) AS y FROM ranked WHERE n >= 10 GROUP BY ALL)
       SELECT l.split, l.market_id, s.slot, t.back IS NOT NULL AS mask, coalesce(CAST(t.y AS DOUBLE), 0.5) AS y, {', '.join(f'coalesce(t.{c}, 0) AS {c}' for c in WINDOW_COLUMNS)}
       FROM long l CROSS JOIN (SELECT CAST(unnest(range(32)) AS BIGINT) AS slot) s LEFT JOIN ranked t ON t.split = l.split AND t.market_id = l.market_id AND t.back = 32 - s.slot""",
-    "dual_samples": f"""{TOKENS}, target AS (SELECT r.split, r.market_id, r.timestamp AS tts, u.user_id FROM ranked r JOIN user_tokens u USING (trade_uid) WHERE back = 1 AND n >= 10),
-      past AS (SELECT a.split, a.market_id, u.*EXCLUDE (split, market_id), row_number() OVER (PARTITION BY a.split, a.market_id ORDER BY u.timestamp DESC, u.trade_uid DESC) AS back
-        FROM target a JOIN user_tokens u ON u.split = a.split AND u.user_id = a.user_id AND u.timestamp < a.tts),
-      labelled AS (SELECT *, CASE WHEN timestamp < market_resolve_time THEN 0.5 ELSE CAST(y AS DOUBLE) END AS label FROM past)
-      SELECT t.split, t.market_id, s.slot, h.back IS NOT NULL AS mask, CAST(coalesce(h.label, 0.5) AS DOUBLE) AS y, coalesce(h.price, 0) AS price, CAST(coalesce(h.outcome_index, 0) AS DOUBLE) AS outcome_index,
-        CAST(coalesce(h.dt_user, 0) AS DOUBLE) AS dt_user, CAST(coalesce(h.label, 0.5) AS DOUBLE) AS label
-      FROM target t CROSS JOIN (SELECT CAST(unnest(range(16)) AS BIGINT) AS slot) s LEFT JOIN labelled h ON h.split = t.split AND h.market_id = t.market_id AND h.back = 16 - s.slot""",
+    "dual_samples": f"""{DUAL} SELECT split, market_id, 'market' AS side, slot, mask, y, {', '.join(f'coalesce({c}, 0) AS x{i}' for i, c in enumerate(DUAL_WINDOW))} FROM market_side
+      UNION ALL SELECT split, market_id, 'user', slot, mask, y, coalesce(price, 0), coalesce(p_yes, 0), coalesce(outcome_index, 0), y, {', '.join(['NULL'] * 8)} FROM user_side""",
+    "dual_samples_asof": f"""{DUAL} SELECT split, market_id, slot, mask, y_asof AS y, coalesce(price, 0) AS x0, coalesce(p_yes, 0) AS x1, CAST(coalesce(outcome_index, 0) AS DOUBLE) AS x2, y_asof AS x3 FROM user_side""",
+    "market_cutoffs": f"""{TOKENS}, long AS (SELECT split, market_id, count(*) AS n FROM tokens GROUP BY ALL HAVING count(*) >= 10)
+      SELECT split, market_id, n, 9 + {bucket("concat(market_id, ':3')", "(n - 9)")} AS cut FROM long""",
     "target_tokens": f"{TOKENS} SELECT split, market_id, CAST(y AS DOUBLE) AS y, price, outcome_index FROM ranked WHERE back = 1 AND n >= 10",
     "baseline_metrics": f"{SCORED} SELECT {CORE} FROM e",
     "metrics_by_split": f"{SCORED}, a AS ({RANKS.format('split,', 'PARTITION BY split', 'split,')}) SELECT e.split, {CORE}, {r('any_value(a.auc)')} AS auc FROM e JOIN a ON a.split = e.split GROUP BY e.split",
@@ -247,8 +260,9 @@ ORACLE_SQL: dict[str, str] = {
       {r("coalesce(sum(CASE WHEN prob > 0.5 THEN y - price ELSE price - y END) FILTER (WHERE abs(prob - 0.5) > tau), 0)")} AS pnl,
       count(*) FILTER (WHERE prob > 0.5 + tau) AS n_yes, count(*) FILTER (WHERE prob < 0.5 - tau) AS n_no FROM e, (SELECT unnest([{TAUS}]) AS tau) GROUP BY tau""",
     "confidence_signals": f"{SCORED} SELECT trade_uid, CASE WHEN prob > 0.6 THEN 'YES' WHEN prob < 0.4 THEN 'NO' ELSE 'NONE' END AS signal, {r('-(y * ln(prob) + (1 - y) * ln(1 - prob))')} AS loss FROM e",
-    "first_batch": f"{SCORED} SELECT trade_uid, {r('price')} AS price FROM scored ORDER BY md5(trade_uid), trade_uid LIMIT 100",
-    "path_normalize": f"{VIEWS} SELECT trade_uid, concat('data/', market_id, '/part_', trade_uid) AS path FROM trades",
+    "first_batch": f"{SCORED} SELECT trade_uid, {r('price')} AS price FROM scored ORDER BY md5(concat('0:', trade_uid)), trade_uid LIMIT 100",
+    "path_normalize": f"{PATHS} SELECT trade_uid, new AS path FROM fixed",
+    "path_report": f"{PATHS} SELECT count(*) AS n_rows, count(DISTINCT old) AS n_paths, count(DISTINCT new) AS n_new_paths, count(*) FILTER (WHERE old <> new) AS n_changed, count(*) FILTER (WHERE place = 0) AS n_without_marker FROM fixed",
     "hash_buckets": f"{VIEWS} SELECT DISTINCT user_id AS proxy_wallet, {bucket('user_id', 2_000_000)} AS user_hash, {bucket('market_id', 256)} AS shard FROM trades",
     "stream_features": f"""{VIEWS}, due AS (
         SELECT a.trade_uid, coalesce(sum(q.pnl), 0) AS s, count(q.pnl) FILTER (WHERE q.pnl > 0) AS won, count(q.pnl) FILTER (WHERE q.pnl < 0) AS lost

@@ -153,3 +153,28 @@ def test_windows_of_streams_and_batches(spark):
     df = spark.createDataFrame([("m", "u", 0, 1.0), ("m", "u", 3600, 1.0), ("m", "u", 7201, 1.0)], "market_id string, user_id string, timestamp long, usdc double")
     assert sorted(r["n_trades"] for r in J.user_sessions(df).collect()) == [1, 2]
     assert J.sliding_hours(df).agg(F.sum("n_trades")).first()[0] == 18
+
+
+def test_places_in_dual_samples():
+    """Models read the samples by position."""
+    from ledgerloom.operators import samples
+
+    assert [samples.DUAL_COLUMNS.index(c) for c in ("price", "p_yes", "outcome_index", "dp_yes_clip")] == [0, 1, 2, 3] and len(samples.DUAL_COLUMNS) == 12
+    assert samples.USER_COLUMNS == ["price", "p_yes", "outcome_index"]
+
+
+def test_job_paths(tmp_path):
+    import json
+
+    from ledgerloom.config import load_paths
+
+    (tmp_path / "config.json").write_text(json.dumps({"dataset_root": "d", "scaler_path": "/s.json", "runs_dir": "s3a://b/r", "checkpoints_dir": "c"}))
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    got = load_paths(str(tmp_path / "a" / "b"))
+    assert (got.dataset_root, got.scaler_path, got.runs_dir) == (str(tmp_path / "d"), "/s.json", "s3a://b/r")
+
+
+def test_column_roles_without_label():
+    from ledgerloom.operators import scaling
+
+    assert scaling.scaled_columns(["price", "edge", "a", "a_missing"]) == ["a"] and scaling.feature_columns(["price", "edge", "a", "a_missing"]) == ["price", "a", "a_missing"]
