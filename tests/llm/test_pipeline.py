@@ -7,7 +7,8 @@ import pytest
 import corpus_pipeline
 from ledgerloom.llm import line_dedup
 from tests.llm.helpers import DOCS, words
-from tests.llm.test_text_operators import near, plain_components, plain_fingerprint, plain_lines
+from tests.llm.test_near_dedup import plain_kept
+from tests.llm.test_text_operators import near, plain_lines
 
 
 def write(spark, folder, docs, labels, items):
@@ -48,9 +49,10 @@ def test_stages_against_plain_steps(spark, planted):
     assert set(rows[1]) == set(rows[0]) - toxic
     want = plain_lines([(k, r[1], r[3]) for k, r in rows[1].items()], line_dedup.SITES)
     assert {k: r[1] for k, r in rows[2].items()} == want and any(want[k] != r[1] for k, r in rows[1].items())
+    # The stage's rule: five-word shingles, similarity 0.8 or more.
     order = sorted(rows[2])
-    root = plain_components([plain_fingerprint(rows[2][k][1] or "") for k in order])
-    assert set(rows[3]) == {order[i] for i in root} and len(rows[3]) < len(rows[2]) - 10
+    kept = plain_kept([rows[2][k][1] for k in order])
+    assert set(rows[3]) == {order[i] for i in kept} and len(rows[3]) < len(rows[2]) - 10
     assert set(rows[4]) == set(rows[3]) - leaks
 
 
