@@ -16,7 +16,7 @@ the document's tokens before it.
 On Spark: blocks of whole documents (about BLOCK_TOKENS) hold their own word
 list and ids; word counts are summed over all blocks by a window and go back to the
 blocks, a row for each block and word. The predictors' tables have a fixed size; tasks send their
-own tables in slices, which are added up in two levels.
+own tables in slices, which are added up in as many levels as the tasks' number asks for.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BLOCK_TOKENS, CHUNK, CLASS_BITS, HASH_BITS, WORD_SLOTS, BYTE_SLOTS = 1_000_000,
 #: A word is frequent if it is at least that share of the training tokens.
 FREQUENT = 1e-3
 END, PLAIN, SLICES, RATE, GATES, STEPS, LEARN, REPEAT = 31, 4096, 32, 0.3, 8, 24, 131_072, 0.1
+#: Tables that are added up in one task.
+FAN = 16
 TABLE = PLAIN * 2 + 3 * WORD_SLOTS + 3 * BYTE_SLOTS
 
 
@@ -43,7 +45,7 @@ def held_out(doc_id: int | None) -> bool:
 def _packed(x: bytes) -> bytes:
     import zstandard
 
-    return zstandard.compress(x, 3)
+    return zstandard.compress(x, 1)
 
 
 def _unpacked(x: bytes) -> bytes:
@@ -237,8 +239,9 @@ def _chunks(block: Block, at, count):
 
 
 def _total(parts: DataFrame, width: int):
-    """The sum of the tasks' tables. parts: slice, part (a number by which the first
-    level is grouped), payload (packed int64). width: numbers in a slice."""
+    """The sum of the tasks' tables. parts: slice, part (the task's number), payload
+    (packed int64). width: numbers in a slice. FAN tables meet in a task, level after
+    level, so that no task reads more of them with more tasks."""
     import numpy as np
     import pandas as pd
 
@@ -248,14 +251,16 @@ def _total(parts: DataFrame, width: int):
         total = np.zeros(width, np.int64)
         for x in pdf["payload"]:
             total += np.frombuffer(zstandard.decompress(x), np.int64)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "part": [0], "payload": [zstandard.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "part": [pdf["part"].iloc[0]], "payload": [zstandard.compress(total.tobytes(), 1)]})
 
     import zstandard
 
     schema = "slice int, part int, payload binary"
-    first = parts.groupBy("slice", "part").applyInPandas(add, schema)
-    out = np.zeros((SLICES, width), np.int64)
-    for r in first.groupBy("slice").applyInPandas(add, schema).toLocalIterator():
+    left, out = parts.rdd.getNumPartitions(), np.zeros((SLICES, width), np.int64)
+    while left > 1:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("slice", "part").applyInPandas(add, schema)
+        left = -(-left // FAN)
+    for r in parts.toLocalIterator():
         out[r["slice"]] = np.frombuffer(zstandard.decompress(bytes(r["payload"])), np.int64)
     return out.ravel()
 
@@ -269,7 +274,7 @@ def _sliced(table):
 
     flat = table.ravel().astype(np.int64)
     flat = np.append(flat, np.zeros(-len(flat) % SLICES, np.int64)).reshape(SLICES, -1)
-    part = TaskContext.get().partitionId() % 16
+    part = TaskContext.get().partitionId()
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in flat], pa.binary())], ["slice", "part", "payload"])
 
 
@@ -283,16 +288,16 @@ def _counted(blocks: DataFrame):
     import numpy as np
 
     def run(batches: Iterator) -> Iterator:
-        table = np.zeros((2, TABLE), np.int64)
+        table = np.zeros(2 * TABLE, np.int64)  # the zeros and the ones of a place stand together
         for b in _each(batches):
             at = np.flatnonzero(b.train)
             for _, _, bit, places in _chunks(b, at, b.count[b.ids[at]] - 1):
-                for value in (0, 1):  # an addend of the table's own type: else each addition is cast
-                    np.add.at(table[value], places[:, bit == value].ravel().astype(np.int64), np.int64(1))
+                # An addend of the table's own type: else each addition is cast.
+                np.add.at(table, (places.astype(np.int64) * 2 + bit).ravel(), np.int64(1))
         yield _sliced(table)
 
     out = _total(blocks.mapInArrow(run, "slice int, part int, payload binary"), _width(2 * TABLE))
-    return out[: 2 * TABLE].reshape(2, TABLE)
+    return np.ascontiguousarray(out[: 2 * TABLE].reshape(TABLE, 2).T)
 
 
 def _stretch(ones, zeros):
@@ -362,11 +367,11 @@ def _scores(group, bit, places, odds, gate, weights, refine):
     """log2 of the probability of each decision, n x d."""
     import numpy as np
 
-    g = group * GATES + gate[places[2]].astype(np.int32)
-    score = weights[:, 0][g] * odds[places[0]]
+    g = group * GATES + gate.take(places[2]).astype(np.int32)
+    score = weights[:, 0].copy().take(g) * odds.take(places[0])
     for i in (1, 2, 3):
-        score += weights[:, i][g] * odds[places[i]]
-    better = refine[g * STEPS + _cell(score)]
+        score += weights[:, i].copy().take(g) * odds.take(places[i])
+    better = refine.take(g * STEPS + _cell(score))
     p = np.float32(0.75) / (1 + np.exp(-np.clip(score, -20, 20))) + np.float32(0.25) * better
     p = np.clip(np.where(bit, p, 1 - p), np.float32(2.0**-18), np.float32(1 - 2.0**-18))
     return np.log(p) * np.float32(1 / np.log(2))
