@@ -8,7 +8,7 @@ under a hashed context (for words: none, the last frequent word, the last two of
 them, the last word; for bytes: the place, two, three and four bytes). Their log odds
 are combined with weights that a gate picks by how much the longest context has
 seen, and the result is refined by an adaptive table of what came true at such a
-probability. Weights and table are learned online, chunk after chunk, on LEARN
+probability. Weights and table are learned online, chunk after chunk, on all
 training tokens of every block, each predicted without its own counts. Last, a
 document's own words adapt the model: with weight REPEAT a token is drawn from
 the document's tokens before it.
@@ -32,7 +32,7 @@ from ledgerloom.llm.shared import drop_table, text_of, written
 BLOCK_TOKENS, CHUNK, CLASS_BITS, HASH_BITS, WORD_SLOTS, BYTE_SLOTS = 1_000_000, 16_384, 5, 6, 1 << 19, 1 << 17
 #: A word is frequent if it is at least that share of the training tokens.
 FREQUENT = 1e-3
-END, PLAIN, SLICES, RATE, GATES, STEPS, LEARN, REPEAT = 31, 4096, 32, 0.3, 8, 24, 131_072, 0.1
+END, PLAIN, SLICES, RATE, GATES, STEPS, REPEAT = 31, 4096, 32, 0.3, 8, 24, 0.1
 #: Tables that are added up in one task.
 FAN = 16
 TABLE = PLAIN * 2 + 3 * WORD_SLOTS + 3 * BYTE_SLOTS
@@ -321,9 +321,8 @@ def _cell(score):
 
 def _learned(blocks: DataFrame, counts):
     """Gated weights (gates x 4) and the refining table's hits and trials (2 x gates
-    x STEPS). Each block learns online from LEARN tokens of its training documents,
-    those of the least hashes of their ids first, every one predicted without its
-    own counts; the blocks' weights are averaged by how much each gate was used."""
+    x STEPS). Each block learns online from all tokens of its training documents, in
+    the order of the hashes of their ids, every one predicted without its own counts; the blocks' weights are averaged by how much each gate was used."""
     import numpy as np
 
     gates = 3 * GATES
@@ -334,12 +333,12 @@ def _learned(blocks: DataFrame, counts):
             order = sorted(range(len(b.keys)), key=lambda d: zlib.crc32(f"learn {b.keys[d]}".encode()))
             starts = np.append(0, np.cumsum(b.size))
             at = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in order])
-            at = at[b.train[at]][:LEARN]
+            at = at[b.train[at]]
             w, heard = np.full((gates, 4), 0.3), np.zeros(gates)
             for group, _, bit, places in _chunks(b, at, b.count[b.ids[at]] - 1):
                 bit, places = bit.ravel(), places.reshape(4, -1)
-                one = np.maximum(counts[1][places] - bit, 0).astype(np.float32)
-                zero = np.maximum(counts[0][places] - ~bit, 0).astype(np.float32)
+                one = np.maximum(counts[1].take(places) - bit, 0).astype(np.float32)
+                zero = np.maximum(counts[0].take(places) - ~bit, 0).astype(np.float32)
                 x = _stretch(one, zero)
                 g = group * GATES + _bucket(one[2] + zero[2]).astype(np.int64)
                 score = sum(x[i] * w[g, i] for i in range(4))
