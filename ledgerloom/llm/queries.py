@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, graph_ann, line_dedup, lm_mixing, packing, secret_scan, simhash, token_files, toxicity, warc
+from ledgerloom.llm import decontam, fill_in_middle, graph_ann, line_dedup, lm_mixing, packing, secret_scan, simhash, token_files, toxicity, warc
 from ledgerloom.llm.shared import table
 from ledgerloom.llm.tokens import tokenizer_path
 
@@ -57,6 +57,10 @@ def op10_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_mixing.score(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_graph_ann": op8_graph_ann,
     "op9_simhash": op9_simhash,
     "op10_lm_mixing": op10_lm_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 #: Exact distinct sites in place of sketches.
@@ -101,4 +106,24 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN
 FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op7_warc": WARC_SQL}
+FILL_IN_MIDDLE_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256(concat('1:', doc_id)) AS h FROM documents
+), g AS (
+  SELECT *, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) % (n + 1) AS c1, CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) % (n + 1) AS c2,
+    CAST(concat('0x', substr(h, 17, 8)) AS BIGINT) % 100 AS p3, CAST(concat('0x', substr(h, 25, 8)) AS BIGINT) % 100 AS p4
+  FROM d
+), f AS (
+  SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p3 >= 90 THEN 'plain' WHEN p4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM g
+), s AS (
+  SELECT *, substr(t, 1, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', x, '<S>', z, '<M>', y) ELSE concat('<S>', z, '<P>', x, '<M>', y) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM s
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op7_warc": WARC_SQL, "op11_fill_in_middle": FILL_IN_MIDDLE_SQL}
