@@ -7,6 +7,8 @@ are a table in the shared folder, so that lineage stays short.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,47 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def find_roots(pairs) -> dict[int, int]:
+    """Union-find: the root of every node of pairs that is not its own root."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = up = parent.get(up, up)
+            x = up
+        return x
+
+    for u, v in pairs:
+        a, b = root(u), root(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(parent)}
+
+
+def forest(links: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """(u, v) with the same components: each task joins its links by union-find, a block
+    of them at a time, and keeps a link to the root for each node."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: list[tuple[int, int]] = []
+
+        def joined():
+            found = find_roots(held)
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            if len(held) >= block:
+                yield joined()
+                held = []
+        if held:
+            yield joined()
+
+    return links.where("u <> v").select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): for every node that has a link to another node, the
     least node that it reaches. links: two columns u and v of one ordered type;

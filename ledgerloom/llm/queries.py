@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, fill_in_middle, graph_ann, line_dedup, lm_mixing, packing, secret_scan, simhash, token_files, toxicity, warc
+from ledgerloom.llm import decontam, fill_in_middle, graph_ann, line_dedup, lm_mixing, packing, secret_scan, simhash, superminhash, token_files, toxicity, warc
 from ledgerloom.llm.shared import table
 from ledgerloom.llm.tokens import tokenizer_path
 
@@ -61,6 +61,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_lm_mixing": op10_lm_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_superminhash": op12_superminhash,
 }
 
 #: Exact distinct sites in place of sketches.
