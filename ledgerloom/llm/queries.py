@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, fill_in_middle, graph_ann, line_dedup, lm_mixing, packing, secret_scan, simhash, superminhash, token_files, toxicity, warc
+from ledgerloom.llm import alignment, decontam, fill_in_middle, graph_ann, line_dedup, lm_mixing, packing, secret_scan, simhash, superminhash, token_files, toxicity, warc
 from ledgerloom.llm.shared import table
 from ledgerloom.llm.tokens import tokenizer_path
 
@@ -65,6 +65,11 @@ def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return rows.withColumn("groups_sha256", alignment.groups_digest()).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_mixing": op10_lm_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_superminhash": op12_superminhash,
+    "op13_alignment": op13_alignment,
 }
 
 #: Exact distinct sites in place of sketches.

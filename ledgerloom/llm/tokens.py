@@ -29,7 +29,7 @@ _PLAIN = rf"^ ?[{_LETTER}0-9{_MARK}]+(?:\n[{_LETTER}0-9{_MARK}]+)*$"
 #: Fixed value: the cuts of a byte-level pre-tokenizer, for plain characters.
 _UNITS = rf"('s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n)"
 _STOP = "\x1f"
-_loaded: dict[str, Encoder] = {}
+_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -88,19 +88,21 @@ class Known:
 
 
 class Encoder:
-    """slices(texts) gives the ids of a column of texts, encode(text) those of one."""
+    """slices(texts) gives the ids of a column of texts, encode(text) those of one.
+    special: whether the strings of special tokens in a text give their ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
         self.model, self.size = self.tokenizer.model, self.tokenizer.get_vocab_size()
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.cuts &= all(not (x["lstrip"] or x["rstrip"] or " " in x["content"]) for x in spec["added_tokens"])
-        self.added = [x["content"] for x in spec["added_tokens"] if x["content"]]
+        self.added = [x["content"] for x in spec["added_tokens"] if x["content"] and (special or not x["special"])]
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printed)))}
         self.shown = {b: shown[b] for b in range(256)}
@@ -200,8 +202,8 @@ class Encoder:
         return flat, lengths
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+def encoder(path: str, special: bool = True) -> Encoder:
+    """One for each worker process, file and kind."""
+    if (path, special) not in _loaded:
+        _loaded[path, special] = Encoder(path, special)
+    return _loaded[path, special]
