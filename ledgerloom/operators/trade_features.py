@@ -28,10 +28,14 @@ def before(w):
 
 def base(trades: DataFrame, markets: DataFrame, start_ts: int | None = None) -> DataFrame:
     """Valid trades with their market's start and end, under their final names."""
-    rows = valid(scan(trades) if start_ts is None else scan(trades, start_ts))
-    rows = rows.withColumnsRenamed({"proxy_wallet": "user_id", "condition_id": "market_id"})
+    return base_of(scan(trades) if start_ts is None else scan(trades, start_ts), market_times(markets))
+
+
+def base_of(scanned: DataFrame, times: DataFrame) -> DataFrame:
+    """base() of trades that were scanned, with times (market_id, start_ts, end_ts)."""
+    rows = valid(scanned).withColumnsRenamed({"proxy_wallet": "user_id", "condition_id": "market_id"})
     rows = rows.withColumn("usdc", F.abs(F.coalesce("usdc_size", F.lit(0.0))))
-    return rows.join(market_times(markets), "market_id", "left")
+    return rows.join(times, "market_id", "left")
 
 
 def trade_local(rows: DataFrame) -> DataFrame:
