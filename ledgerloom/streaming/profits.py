@@ -21,6 +21,7 @@ from ledgerloom.operators import carried as C
 OUT = "trade_uid string, user_id string, timestamp long, user_historical_pnl_before double, user_historical_winrate_before double, user_recent_pnl_last20 double, user_pnl_std_before double"
 TOTALS = "s double, ss double, n long, won long, lost long, tail array<double>"
 OPEN = "ts array<long>, uid array<string>, pnl array<double>"
+_ROW = Row(*(x.split()[0] for x in OUT.split(", ")))
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -75,7 +76,7 @@ class RealisedProfits(StatefulProcessor):
         for r in rows:
             while due and due[0][:3] < (r.timestamp, 1, r.trade_uid):
                 totals.add(heapq.heappop(due)[-1])
-            yield Row(r.trade_uid, key[0], r.timestamp, *totals.seen())
+            yield _ROW(r.trade_uid, key[0], r.timestamp, *totals.seen())
             if r.end_ts is None or r.pnl_raw is None:
                 continue
             end, own = int(r.end_ts), (r.timestamp, r.trade_uid, float(r.pnl_raw))
