@@ -1,12 +1,18 @@
 """Secret scan with a worklist of decoded layers.
 
-The whole text is the first layer. A layer gives new ones: itself with its percent
+The whole text is the first layer. A layer of text gives new ones: itself with its percent
 escapes decoded, itself with its \\u escapes decoded, the readable parts of its base64
 runs (each taken at all four places where a group of four characters can begin, so that
-a path before the code does not matter), and what compressed streams in decoded bytes
-hold. They are scanned and searched again until none is new: a layer's content that was
-seen before at its place is not taken up again, so cycles end. Every layer maps its
-characters back to spans of the text, and so do the finds in it.
+a path before the code does not matter), and the compressed streams in decoded bytes. A
+stream is a layer of bytes: its readable parts are layers of text, and streams anywhere
+in it are layers of bytes again, however deep. They are scanned and searched until none
+is new: a layer's content that was seen before at its place is not taken up again, so
+cycles end (a stream that holds itself as well). Every layer maps its characters back to
+spans of the text, and so do the finds in it.
+
+A stream is never held as a whole. It is opened again from the bytes that it lies in, and
+each pass feeds it on piece by piece, to all streams that may begin in it at once, so that
+an inner stream may be of any length and begin and end anywhere.
 """
 
 from __future__ import annotations
@@ -35,13 +41,17 @@ ESCAPE = re.compile(r"\\(?:u005[cC])*u([0-9A-Fa-f]{4})")
 #: A run of base64 in either alphabet; lines of LINE characters or more belong together.
 RUN, LINE = 16, 60
 BASE64 = re.compile(rf"(?:[A-Za-z0-9+/_-]{{{LINE},}}\r?\n)+[A-Za-z0-9+/_-]+={{0,2}}|[A-Za-z0-9+/_-]{{{RUN},}}={{0,2}}")
-#: The first bytes of gzip, zstd and zlib streams.
-MAGIC = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
-#: Decoded bytes that can hold a secret (the shortest has 12); others part them.
+#: The first bytes of gzip, zstd and zlib streams, and how many tell one.
+MAGIC, HEAD = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]"), 4
+#: Decoded bytes that can hold a secret (the shortest has SHORTEST); others part them.
+SHORTEST = 12
 READABLE = re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]{12,}")
-#: Streams are read to their end in pieces of PIECE bytes, each with the OVERLAP last
-#: ones of the piece before it.
-PIECE, OVERLAP = 1 << 24, 1 << 16
+UNREADABLE = re.compile(rb"[^\t\n\r\x20-\x7e\x80-\xff]")
+#: Where text may be parted, as no secret and no code goes on there: after a character that
+#: none has, or after spaces that no sign of an assignment stands beside.
+PARTED = re.compile(rb"[!#$&()*,;<>?@\[\]^`{|}~\t]|[^\x80-\xff:= ] +(?=[^\x80-\xff:= ])")
+#: Bytes of a stream that come at once, and of compressed bytes that are fed at once.
+PIECE, STEP, ZSTD_STEP = 1 << 22, 1 << 16, 1 << 10
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -56,29 +66,137 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _inflated(raw: bytes) -> Iterator[bytes]:
-    """What the stream at the beginning of raw holds, with the gzip members or zstd
-    frames after it, piece by piece. A stream that breaks off gives what came before."""
-    import zstandard
-
-    try:
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as stream:
-                while piece := stream.read(PIECE):
-                    yield piece
-            return
-        while raw:
-            inflate = zlib.decompressobj(47)
-            while raw and not inflate.eof:
-                piece = inflate.decompress(raw, PIECE)
-                if piece:
-                    yield piece
-                elif inflate.unconsumed_tail == raw:
+class _Inflater:
+    """A compressed stream that is fed: gzip with the members after it, zlib, or zstd with
+    the frames after it. done: it has ended or broken off; what came before counts."""
+
+    def __init__(self, zstd: bool):
+        self.done, self.waiting, self.zstd = False, b"", zstd
+        self.next, self.step = (b"\x28\xb5\x2f\xfd", ZSTD_STEP) if zstd else (b"\x1f\x8b\x08", STEP)
+        self.now = self._opened()
+
+    def _opened(self):
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj() if self.zstd else zlib.decompressobj(47)
+
+    def feed(self, data: memoryview) -> Iterator[bytes]:
+        import zstandard
+
+        at, step = 0, 64
+        try:
+            while at < len(data) and not self.done:
+                # Small at first: most of what looks like a stream is none.
+                own, at, step = data[at : at + step], at + step, min(4 * step, self.step)
+                yield from self._part(self.waiting + bytes(own) if self.waiting else own)
+        except (zlib.error, zstandard.ZstdError):
+            self.done = True
+
+    def _part(self, own) -> Iterator[bytes]:
+        self.waiting = b""
+        while True:
+            if self.now is None:  # between members or frames
+                if len(own) < len(self.next):
+                    self.waiting = bytes(own)
                     return
-                raw = inflate.unconsumed_tail
-            raw = inflate.unused_data if inflate.eof and inflate.unused_data[:2] == b"\x1f\x8b" else b""
-    except (zlib.error, zstandard.ZstdError):
-        return
+                if own[: len(self.next)] != self.next:
+                    self.done = True
+                    return
+                self.now = self._opened()
+            out = self.now.decompress(own) if self.zstd else self.now.decompress(own, PIECE)
+            yield out
+            if self.now.eof:
+                own, self.now = self.now.unused_data, None
+            elif self.zstd:
+                return
+            else:
+                own = self.now.unconsumed_tail
+                if not own and len(out) < PIECE:
+                    return
+
+
+class _Bytes:
+    """Decoded bytes that are at hand, as pieces."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    def pieces(self, start: int = 0) -> Iterator[memoryview]:
+        whole = memoryview(self.raw)
+        for k in range(start, len(whole), PIECE):
+            yield whole[k : k + PIECE]
+
+
+class _Stream:
+    """What a compressed stream at a place of other bytes holds, opened anew by each reader."""
+
+    def __init__(self, source, start: int, zstd: bool):
+        self.source, self.start, self.zstd = source, start, zstd
+
+    def pieces(self, start: int = 0) -> Iterator[memoryview]:
+        inflater, gone = _Inflater(self.zstd), 0
+        for own in self.source.pieces(self.start):
+            for out in inflater.feed(own):
+                if gone + len(out) > start:
+                    yield memoryview(out)[max(0, start - gone) :]
+                gone += len(out)
+            if inflater.done:
+                return
+
+
+class _Probe:
+    """A stream that may begin at a place: whether it does, and what its content is."""
+
+    def __init__(self, start: int, zstd: bool):
+        self.start, self.zstd, self.inflater = start, zstd, _Inflater(zstd)
+        self.digest, self.size = hashlib.sha256(), 0
+
+    def feed(self, data: memoryview) -> None:
+        for out in self.inflater.feed(data):
+            self.digest.update(out)
+            self.size += len(out)
+
+
+def _streams(source) -> Iterator[tuple[_Stream, bytes]]:
+    """The streams that begin anywhere in the source, each with a digest of its content."""
+    open_now, carry, at = [], b"", 0
+    for piece in source.pieces():
+        for p in open_now:
+            p.feed(piece)
+        yield from ((_Stream(source, p.start, p.zstd), p.digest.digest()) for p in open_now if p.inflater.done and p.size >= SHORTEST)
+        open_now = [p for p in open_now if not p.inflater.done]
+        # A stream's first bytes may lie over the edge of two pieces.
+        near, begin = carry + bytes(piece[: HEAD - 1]), at - len(carry)
+        edge = [(begin + m.start(), m[0]) for m in MAGIC.finditer(near) if m.start() < len(carry) < m.end()]
+        for start, head in [*edge, *((at + m.start(), m[0]) for m in MAGIC.finditer(piece))]:
+            p = _Probe(start, head[0] == 0x28)
+            if start < at:
+                p.feed(memoryview(near[start - begin : len(carry)]))
+            p.feed(piece[max(0, start - at) :])
+            if not p.inflater.done:
+                open_now.append(p)
+            elif p.size >= SHORTEST:
+                yield _Stream(source, start, p.zstd), p.digest.digest()
+        at += len(piece)
+        carry = (carry + bytes(piece[-(HEAD - 1) :]))[-(HEAD - 1) :]
+    yield from ((_Stream(source, p.start, p.zstd), p.digest.digest()) for p in open_now if p.size >= SHORTEST)
+
+
+def _texts(source) -> Iterator[str]:
+    """The readable parts of the source's bytes. Long ones come in parts, cut where no
+    secret and no code goes on."""
+    held = b""
+    for piece in source.pieces():
+        held += piece
+        cut = 0
+        for m in UNREADABLE.finditer(held, max(0, len(held) - len(piece))):
+            cut = m.end()
+        if not cut and len(held) > PIECE:
+            cut = max((m.end() for m in PARTED.finditer(held, len(held) - len(piece))), default=0)
+        if cut:
+            yield from (m[0].decode("utf-8", "surrogateescape") for m in READABLE.finditer(held[:cut]))
+            held = held[cut:]
+    yield from (m[0].decode("utf-8", "surrogateescape") for m in READABLE.finditer(held))
 
 
 class _One:
@@ -112,18 +230,13 @@ class _Each:
 
 
 def _of_bytes(raw: bytes, at) -> Iterator:
-    """Layers in decoded bytes: what streams in them hold, then their readable parts.
-    at: the place of each byte, and of the end."""
+    """Layers in decoded bytes: the streams in them, then their readable parts. at: the
+    place of each byte, and of the end."""
     import numpy as np
 
-    for m in MAGIC.finditer(raw):
-        before, where = b"", _One(int(at[m.start()]), int(at[-1]))
-        for piece in _inflated(raw[m.start() :]):
-            held = before + piece
-            for x in READABLE.finditer(held):
-                yield x[0].decode("utf-8", "surrogateescape"), where
-            yield from _streams_within(held, where)
-            before = held[-OVERLAP:]
+    if MAGIC.search(raw):
+        for stream, digest in _streams(_Bytes(raw)):
+            yield (stream, digest), _One(int(at[stream.start]), int(at[-1]))
     for m in READABLE.finditer(raw):
         text = m[0].decode("utf-8", "surrogateescape")
         if not _worth(text):
@@ -136,15 +249,13 @@ def _of_bytes(raw: bytes, at) -> Iterator:
         yield text, _Each(places)
 
 
-def _streams_within(raw: bytes, where: _One) -> Iterator:
-    """Layers of streams that stand as they are within a stream's content."""
-    for m in MAGIC.finditer(raw):
-        before = b""
-        for piece in _inflated(raw[m.start() :]):
-            held = before + piece
-            for x in READABLE.finditer(held):
-                yield x[0].decode("utf-8", "surrogateescape"), where
-            before = held[-OVERLAP:]
+def _of_stream(stream: _Stream) -> Iterator:
+    """Layers in a stream's content; all are at the stream's own place."""
+    for text in _texts(stream):
+        if _worth(text):
+            yield text, _HERE
+    for inner in _streams(stream):
+        yield inner, _HERE
 
 
 def _worth(text: str) -> bool:
@@ -224,6 +335,10 @@ def _layers(text: str) -> Iterator:
             yield from _of_bytes(raw, np.append(at, m.end()))
 
 
+#: The place of what lies in a stream: the stream's own.
+_HERE = _One(0, 0)
+
+
 def all_spans(text: str) -> set[tuple[str, int, int]]:
     """(kind, start, end) in the text, of the text itself and of all its layers.
     A find in a decoded layer spans all encoded characters that it came from, one in a
@@ -236,15 +351,21 @@ def all_spans(text: str) -> set[tuple[str, int, int]]:
             work.pop()
             continue
         (inner, places), at = step, work[-1][1]
-        if at is not None:
+        if places is _HERE:
+            places = at
+        elif at is not None:
             places = at if isinstance(places, _One) and isinstance(at, _One) else _One(*at.span(places.start, max(places.end, places.start + 1))) if isinstance(places, _One) else at.part(places.places)
-        key = hashlib.sha256(b"%d %d " % (places.start, places.end) + inner.encode("utf-8", "surrogatepass")).digest()
+        content = inner.encode("utf-8", "surrogatepass") if isinstance(inner, str) else b"stream " + inner[1]
+        key = hashlib.sha256(b"%d %d " % (places.start, places.end) + content).digest()
         if key in seen:
             continue
         seen.add(key)
-        for kind, a, b in base_spans(inner):
-            found.add((kind, *places.span(a, b)))
-        work.append((_layers(inner), places))
+        if isinstance(inner, str):
+            for kind, a, b in base_spans(inner):
+                found.add((kind, *places.span(a, b)))
+            work.append((_layers(inner), places))
+        else:
+            work.append((_of_stream(inner[0]), places))
     return found
 
 
@@ -258,7 +379,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     in the tasks that read them. base: the spans of the text itself; spans: those
     and the ones from decoded layers. Null and empty texts have none. Null ids stay
     null, repeated rows give repeated rows, other columns are not read, and an empty
-    table gives none. Time is linear in a layer's length; no layer is cut short."""
+    table gives none. Time is linear in the length of a layer's content, which is read
+    once for each layer below it; no layer is cut short."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
