@@ -22,7 +22,9 @@ from ledgerloom.llm.shared import drop_table, open_for_read, open_for_write, scr
 
 #: Shards of B ids, counts that meet in a task, distinct pairs that a task holds before it
 #: passes them on, bytes of tables that a worker keeps, and bytes of groups in a batch.
-SHARDS, FAN, HELD, KEPT, BATCH = 64, 16, 4_000_000, 200_000_000, 16_000_000
+SHARDS, FAN, HELD, KEPT, BATCH = 64, 16, 2_000_000, 100_000_000, 4_000_000
+#: Bytes of texts that are aligned at once.
+PART = 1_000_000
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -64,7 +66,7 @@ class Aligned:
         stops, total = np.append(0, np.cumsum(sizes)), int(np.sum(sizes))
         at_a, at_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
         at_a[self.a_ends], at_b[self.b_ends] = True, True
-        count = lambda x: np.cumsum(x, dtype=np.int64)
+        count = lambda x: np.cumsum(x, dtype=np.int32 if total < 2**31 else np.int64)
         self.till_a, self.till_b, self.both = count(at_a), count(at_b), at_a & at_b
         self.till_group, cuts = count(self.both), np.flatnonzero(at_a | at_b)
         # Between two cuts lie one token of A and one of B, and each overlap just once.
@@ -119,10 +121,14 @@ def aligned(texts, a_path: str, b_path: str) -> Iterator[tuple[int, int, Aligned
         good &= held[a_ends[1:]] - held[a_ends[:-1]] == size + 1
         if not a.cuts:
             good &= [not g or a.tokenizer.decode(a_ids[x:y].tolist(), skip_special_tokens=False) == f" {t}" for g, x, y, t in zip(good, a_ends[:-1], a_ends[1:], own.to_pylist(), strict=True)]
-        if not good.all():
-            mine = np.repeat(good, a_count)
-            a_ids, a_bytes, b_ids = a_ids[mine], a_bytes[mine], b_ids[np.repeat(good, b_count)]
-        yield k, stop, Aligned(a_ids, b_ids, a_bytes, b_length[b_ids], np.where(good, size + 1, 0))
+        length, begin = np.where(good, size + 1, 0), 0
+        a_at, b_at, till = a_ends.tolist(), np.append(0, np.cumsum(b_count)).tolist(), np.cumsum(length)
+        while begin < len(good):
+            end = max(begin + 1, int(np.searchsorted(till, (till[begin - 1] if begin else 0) + PART)))
+            mine_a, mine_b = np.repeat(good[begin:end], a_count[begin:end]), np.repeat(good[begin:end], b_count[begin:end])
+            own_a, own_bytes, own_b = (x[y:z][m] for x, y, z, m in ((a_ids, a_at[begin], a_at[end], mine_a), (a_bytes, a_at[begin], a_at[end], mine_a), (b_ids, b_at[begin], b_at[end], mine_b)))
+            yield k + begin, k + end, Aligned(own_a, own_b, own_bytes, b_length[own_b], length[begin:end])
+            begin = end
 
 
 def _shard_of(keys):

@@ -12,7 +12,7 @@ from array import array
 
 from ledgerloom.llm.tokens import Known, _gathered
 
-WORDS, SPACE = 400_000, "▁"
+WORDS, SPACE = 200_000, "▁"
 #: Marks a word whose pieces do not give its bytes.
 BROKEN = 0xFFFFFFFF
 _CUT = re.compile(r"(?<=[^ ])(?= )")

@@ -116,7 +116,7 @@ def test_hash_is_minimal_and_perfect(n):
             PairHash.of(np.array([5, 5], np.uint64))
 
 
-@pytest.mark.parametrize("limits", [{}, {"HELD": 50, "FAN": 2, "KEPT": 1, "BATCH": 10}])
+@pytest.mark.parametrize("limits", [{}, {"HELD": 50, "FAN": 2, "KEPT": 1, "BATCH": 10, "PART": 40}])
 def test_rows_and_counts(spark, plain, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(L, k, v)
