@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators.ranking import numbered
 
 
 def temporal_split(markets: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """markets (market_id, end_ts) with a split: the oldest share is train, the next
-    val, the rest test, by (end_ts, market_id), markets without an end last. One row
-    a market, so that one task orders them."""
-    w = Window.orderBy(F.col("end_ts").asc_nulls_last(), "market_id")
-    share = F.row_number().over(w) / F.count(F.lit(1)).over(Window.partitionBy())
-    return markets.select("*", F.when(share <= train, "train").when(share <= train + val, "val").otherwise("test").alias("split"))
+    val, the rest test, by (end_ts, market_id), markets without an end last. Places come
+    from ranges of that order, so no task orders all markets."""
+    rows, n = numbered(markets, [F.col("end_ts").asc_nulls_last(), "market_id"], "_place")
+    share = (F.col("_place") + 1) / F.lit(max(n, 1))
+    return rows.select(*markets.columns, F.when(share <= train, "train").when(share <= train + val, "val").otherwise("test").alias("split"))
 
 
 def market_meta(splits: DataFrame, labels: DataFrame) -> DataFrame:

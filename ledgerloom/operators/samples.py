@@ -63,6 +63,33 @@ def market_windows(tokens: DataFrame, length: int, columns: Sequence[str] = MARK
     )
 
 
+def last_before(targets: DataFrame, past: DataFrame, keys: Sequence[str], length: int, block: int = 7 * 86_400) -> DataFrame:
+    """Each target (keys, target_ts) with the last `length` rows of `past` (keys, uts,
+    trade_uid) of its keys strictly before its time, and their _rank (1: the last).
+
+    Past rows and targets stand in one sorted stream, which numbers the past rows of a key
+    and tells each target how many came before it; it then joins just the rows of those
+    numbers. Numbers are counted within time blocks of `block` seconds, with the earlier
+    blocks' sums (a row a block) added, so that no task orders all rows of a large key."""
+    cut = lambda c: F.floor(F.col(c) / block)
+    mine = past.withColumns({"_at": F.col("uts"), "_b": cut("uts"), "_past": F.lit(1)})
+    asked = targets.withColumns({"_at": F.col("target_ts"), "_b": cut("target_ts"), "_past": F.lit(0)})
+    sums = mine.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # Blocks that only targets have are counted too, as empty ones.
+    blocks = sums.unionByName(asked.select(*keys, "_b", F.lit(0).cast("long").alias("_n"))).groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(*keys, "_b", earlier.alias("_before"))
+    # A target stands before the past rows of its own second.
+    w = Window.partitionBy(*keys, "_b").orderBy("_at", "_past", "trade_uid").rowsBetween(Window.unboundedPreceding, 0)
+    stream = mine.unionByName(asked.select(*keys, "_b", "_at", "_past").distinct(), allowMissingColumns=True)
+    stream = stream.withColumn("_seen", F.sum("_past").over(w)).join(blocks, [*keys, "_b"]).withColumn("_nth", F.col("_seen") + F.col("_before"))
+    known = stream.where("_past = 1").select(*past.columns, "_nth")
+    upto = stream.where("_past = 0").select(*keys, F.col("_at").alias("target_ts"), F.col("_nth").alias("_upto"))
+    want = targets.join(upto, [*keys, "target_ts"]).where("_upto > 0")
+    want = want.withColumn("_nth", F.explode(F.sequence(F.greatest(F.col("_upto") - length + 1, F.lit(1)), F.col("_upto"))))
+    return want.join(known, [*keys, "_nth"]).withColumn("_rank", F.col("_upto") - F.col("_nth") + 1).drop("_upto", "_nth")
+
+
 def dual_samples(tokens: DataFrame, user_tokens: DataFrame, market_length: int, user_length: int, mask_mode: str = "own_time", mode: str = "last", epoch: int = 0) -> DataFrame:
     """Market windows with the history of the target trade's user: the last
     user_length tokens of the same split strictly before the target's second.
@@ -70,15 +97,14 @@ def dual_samples(tokens: DataFrame, user_tokens: DataFrame, market_length: int,
     A history label is UNKNOWN where the history trade itself came before its market
     resolved ("own_time"), or where the market resolves after the target ("asof").
     The label stands as a fourth column of user_x as well. A user without history
-    has zeros, an empty mask and UNKNOWN labels.
+    has zeros, an empty mask and UNKNOWN labels. Rows met grow with targets times
+    user_length, not with the users' pasts.
     """
     samples = market_windows(tokens, market_length, DUAL_COLUMNS, mode=mode, epoch=epoch)
     who = user_tokens.select(F.col("trade_uid").alias("target_uid"), "user_id")
     targets = samples.select("split", "market_id", "target_ts", "target_uid").join(who, "target_uid")
     past = user_tokens.select("split", "user_id", *USER_COLUMNS, F.col("timestamp").alias("uts"), "trade_uid", F.col("y").cast("float").alias("uy"), "market_resolve_time")
-    met = targets.join(past, ["split", "user_id"]).where(F.col("uts") < F.col("target_ts"))
-    w = Window.partitionBy("split", "market_id").orderBy(F.desc("uts"), F.desc("trade_uid"))
-    met = met.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= user_length)
+    met = last_before(targets, past, ["split", "user_id"], user_length)
     hidden = F.col("uts") < F.col("market_resolve_time") if mask_mode == "own_time" else F.col("market_resolve_time") > F.col("target_ts")
     label = F.when(hidden, F.lit(UNKNOWN)).otherwise(F.col("uy")).cast("float")
     values = F.array(*[F.col(c).cast("float") for c in USER_COLUMNS], label)

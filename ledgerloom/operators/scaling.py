@@ -40,6 +40,31 @@ def norm_stats(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select("column", F.coalesce("mean", F.lit(0.0)).alias("mean"), std.alias("std"), "count")
 
 
+def norm_partials(features: DataFrame, columns: Sequence[str], *by: str) -> DataFrame:
+    """(by, column, count, mean, m2) of the finite values: partial statistics that are kept,
+    say for each day, and merged with those of later days. m2: squared deviations."""
+    parts = [F.struct(F.lit(c).alias("column"), F.count(_finite(c)).alias("count"), F.avg(_finite(c)).alias("mean"), (F.var_pop(_finite(c)) * F.count(_finite(c))).alias("m2")) for c in columns]
+    rows = features.groupBy(*by).agg(F.array(*parts).alias("rows"))
+    return rows.select(*by, F.explode("rows").alias("r")).select(*by, "r.*").where("count > 0")
+
+
+def merged_partials(partials: DataFrame, *by: str) -> DataFrame:
+    """Partials of several parts as one for each `by` and column, by Chan's formula: the
+    parts' deviations, and how far their means lie from the mean of all."""
+    keys = [*by, "column"]
+    total = partials.groupBy(*keys).agg(F.sum("count").alias("_n"), (F.sum(F.col("count") * F.col("mean")) / F.sum("count")).alias("_mean"))
+    apart = F.col("mean") - F.col("_mean")
+    return partials.join(total, keys).groupBy(*keys).agg(F.sum("count").alias("count"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("count") * apart * apart).alias("m2"))
+
+
+def stats_of(partials: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """norm_stats() from partials of any number of parts."""
+    names = partials.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    rows = names.join(merged_partials(partials), "column", "left")
+    std = F.sqrt(F.col("m2") / F.col("count"))
+    return rows.select("column", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.when((F.col("count") > 1) & (std > 0), std).otherwise(F.lit(1.0)).alias("std"), F.coalesce("count", F.lit(0).cast("long")).alias("count"))
+
+
 def standardised(features: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / std for the columns that stats has; a bad std counts as 1. The
     statistics, a row for each column, come to the driver and become literals."""

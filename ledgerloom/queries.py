@@ -17,18 +17,25 @@ from ledgerloom.functions import scalars as S
 from ledgerloom.operators import markets as M
 from ledgerloom.operators import metrics as X
 from ledgerloom.operators import model as K
+from ledgerloom.operators import ranking as R
 from ledgerloom.operators import samples as P
 from ledgerloom.operators import scaling as N
 from ledgerloom.operators import sequences as Q
 from ledgerloom.operators import trade_features as E
 from ledgerloom.plans import feature_table
-from ledgerloom.sources import fixture, trades as A
-from ledgerloom.sources.shared import shared_folder, written
+from ledgerloom.sources import fixture, sinks, trades as A
+from ledgerloom.sources.shared import scratch, written
 from ledgerloom.sql import ORACLE_SQL
 from ledgerloom.streaming import features as J
+from ledgerloom.streaming import incremental as I
+from ledgerloom.streaming import profits as V
 
 WINDOW, USER_WINDOW = 32, 16
 TAUS = (0.0, 0.05, 0.1, 0.2)
+#: The shuffle of epoch_batches, and into how many micro-batches and files a table is cut
+#: that a query streams.
+SHUFFLE_SEED, EPOCH, BATCH = 7, 3, 512
+MICRO_BATCHES, FILES, DELAY = 4, 8, 50_000
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -282,14 +289,84 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_features(s, d):
-    import uuid
-
-    at = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    at = scratch(s, "stream")
     user = J.run_to_table(J.keyed_features(_streamed(s, d), "user_id"), f"{at}/user", f"{at}/user-state")
     market = J.run_to_table(J.keyed_features(_streamed(s, d), "market_id"), f"{at}/market", f"{at}/market-state")
     return user.drop("user_id", "timestamp").join(market.drop("market_id"), "trade_uid")
 
 
+def _parts(trades: DataFrame, order) -> list[DataFrame]:
+    """The trades in MICRO_BATCHES ranges of the order, of about equal size."""
+    placed = trades.withColumn("_order", order)
+    cuts = placed.agg(F.percentile_approx("_order", [k / MICRO_BATCHES for k in range(1, MICRO_BATCHES)])).first()[0]
+    part = sum(((F.col("_order") > c).cast("int") for c in cuts), F.lit(0))
+    return [placed.where(part == k).drop("_order") for k in range(MICRO_BATCHES)]
+
+
+def _stream_of(s: SparkSession, parts: list[DataFrame], at: str) -> DataFrame:
+    """A stream that takes one of these tables after the other."""
+    for part in parts:
+        part.repartition(FILES).write.mode("append").parquet(at)
+    return s.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", FILES).parquet(at)
+
+
+def stream_realized_pnl(s, d):
+    """Profits by state and timers, over several micro-batches."""
+    at = scratch(s, "stream")
+    rows = E.base(_stream_of(s, _parts(fixture.trades(s, d), F.col("timestamp")), f"{at}/trades"), fixture.markets(s, d))
+    return J.run_to_table(V.realised_stream(rows), f"{at}/table", f"{at}/state").drop("user_id", "timestamp")
+
+
+def stream_feature_table(s, d):
+    """All columns, over several micro-batches."""
+    at = scratch(s, "stream")
+    build = I.Build(s, f"{at}/table", fixture.markets(s, d))
+    return build.run(_stream_of(s, _parts(fixture.trades(s, d), F.col("timestamp")), f"{at}/trades"), f"{at}/state")
+
+
+def stream_after_batch(s, d):
+    """The older half by a batch, which hands over to a stream of the rest."""
+    at, parts = scratch(s, "stream"), _parts(fixture.trades(s, d), F.col("timestamp"))
+    build = I.Build(s, f"{at}/table", fixture.markets(s, d))
+    build.begin_with(parts[0].unionByName(parts[1]))
+    return build.run(_stream_of(s, parts[2:], f"{at}/trades"), f"{at}/state")
+
+
+def stream_unordered(s, d):
+    """Trades out of order by up to DELAY seconds, and a fiftieth of them a third of the
+    time too late, which are put aside and repaired."""
+    at, trades = scratch(s, "stream"), fixture.trades(s, d)
+    span = trades.agg((F.max("timestamp") - F.min("timestamp")).alias("x")).first()[0]
+    mixed = F.pmod(F.xxhash64("trade_uid"), F.lit(DELAY // 2))
+    late = F.when(F.pmod(F.xxhash64("trade_uid", F.lit(1)), F.lit(50)) == 0, F.lit(span // 3)).otherwise(F.lit(0))
+    build = I.Build(s, f"{at}/table", fixture.markets(s, d), delay=DELAY)
+    build.run(_stream_of(s, _parts(trades, F.col("timestamp") + mixed + late), f"{at}/trades"), f"{at}/state")
+    return build.repaired(trades)
+
+
+def norm_stats_merged(s, d):
+    """K2: statistics of each day, kept as a table, and merged into those of all days."""
+    rows = _split_features(s, d).where("split = 'train'").withColumn("day", F.expr("timestamp DIV 86400"))
+    columns = N.scaled_columns(feature_table.COLUMNS)
+    return N.stats_of(written(N.norm_partials(rows, columns, "day"), "day-statistics"), columns)
+
+
+def epoch_batches(s, d):
+    """A batch and a slot for each trade of an epoch's shuffle of the whole table."""
+    rows, n = R.numbered(A.valid(A.scan(fixture.trades(s, d))).select("trade_uid", "price"), ["trade_uid"])
+    return R.epoch_batches(rows, n, SHUFFLE_SEED, EPOCH, BATCH)
+
+
+def market_ranges(s, d):
+    """The runs of the markets of the longest index entries, read by the index."""
+    at, tokens = scratch(s, "store"), written(_tokens(s, d), "market-tokens")
+    index = Q.index(tokens, "market_id", "y")
+    sinks.write_sequences(tokens, f"{at}/sequences", "market_id", files=FILES)
+    sinks.write_index(index, f"{at}/index", "market_id")
+    longest = [r["market_id"] for r in index.orderBy(F.desc("length"), "market_id").select("market_id").limit(3).collect()]
+    return sinks.read_range(s, f"{at}/sequences", f"{at}/index", "market_id", *longest).select("market_id", "split", "shard", "place", "timestamp", "trade_uid", "price", "y")
+
+
 def hour_sliding(s, d):
     return J.sliding_hours(_base(s, d))
 
@@ -306,10 +383,12 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pair_hour, pair_lifetime, feature_vectors, baseline_model_scores, model_report, market_index, user_index, market_windows, dual_samples,
         dual_samples_asof, market_cutoffs, target_tokens, auc, path_normalize, path_report, hash_buckets, metrics_by_split, profit_threshold, profit_sweep, confidence_metrics,
         confidence_signals, first_batch, stream_features, hour_sliding, user_sessions,
+        stream_realized_pnl, stream_feature_table, stream_after_batch, stream_unordered, norm_stats_merged, epoch_batches, market_ranges,
     )
 } | {
     "feature_table": _features,
     "feature_table_blocks": lambda s, d: feature_table.build(fixture.trades(s, d), fixture.markets(s, d), strategy="sweep", block=86_400),
+    "feature_table_whales": lambda s, d: feature_table.build(fixture.trades(s, d), fixture.markets(s, d), large=60),
     "temporal_split": _splits,
     "market_meta": _meta,
     "split_features": lambda s, d: _split_features(s, d).select("trade_uid", "market_id", "split", "label_y"),

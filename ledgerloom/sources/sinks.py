@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS, META = 2_000_000, "_market_meta.parquet"
@@ -57,6 +57,29 @@ def read_key(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col(key) == value).orderBy("timestamp")
 
 
+def write_index(index: DataFrame, path: str, key: str) -> None:
+    """The index of a sequence store, sorted by key, so that a look-up reads few row groups."""
+    index.repartitionByRange(key).sortWithinPartitions(key, "split").write.parquet(path)
+
+
+def read_range(spark: SparkSession, path: str, index_path: str, key: str, *values: str) -> DataFrame:
+    """The rows of these markets or users, with their place in their run (from 0), read by
+    the index: the look-up (a row for each key and split asked for) names the shards, only
+    their folders are listed, and within them row groups are skipped by their keys. Raises
+    ValueError if a run has not the length that the index says."""
+    index = spark.read.parquet(index_path)
+    runs = index.where(F.col(key).isin(list(values))).select(key, "split", "shard", "length").collect()
+    if not runs:
+        return spark.read.parquet(path).limit(0).withColumn("place", F.lit(0).cast("long"))
+    folders = sorted({f"{path}/split={r['split']}/shard={r['shard']}" for r in runs})
+    rows = spark.read.option("basePath", path).parquet(*folders).where(F.col(key).isin(list(values)))
+    w = Window.partitionBy("split", key)
+    length = F.element_at(F.create_map(*[F.lit(x) for r in runs for x in (f"{r['split']}:{r[key]}", r["length"])]), F.concat("split", F.lit(":"), key))
+    whole = F.count(F.lit(1)).over(w) == length
+    rows = rows.withColumn("place", (F.row_number().over(w.orderBy("timestamp", "trade_uid")) - 1).cast("long"))
+    return rows.withColumn("place", F.when(whole, F.col("place")).otherwise(F.raise_error(F.lit("a run is not as long as the index says")).cast("long")))
+
+
 def preview(features: DataFrame, rows: int = 3) -> DataFrame:
     """Means of the target columns over the first rows, as a smoke check."""
     return features.limit(rows).agg(F.count("*").alias("n"), F.avg("label_y").alias("mean_y"), F.avg("edge").alias("mean_edge"))

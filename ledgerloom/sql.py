@@ -111,10 +111,27 @@ WITH trades AS (
   FROM f
 )"""
 
+#: Ends as announced, which is all that a stream can know.
+ANNOUNCED = VIEWS.replace(f"coalesce(effective_end_ts, last_ts, {ISO.format('end_date')}) AS end_ts", f"coalesce(effective_end_ts, {ISO.format('end_date')}) AS end_ts")
+
 #: The whole numbers among the feature columns; the rest are doubles.
-LONGS = """timestamp dt_trade outcome_index seconds_since_market_open user_time_since_first_trade market_time_since_first_trade user_total_trades_before
-user_days_active_before time_since_user_last_trade market_total_trades_before num_unique_traders_last_1h time_since_last_market_trade
-user_trades_last_1h_in_market user_trade_count_in_market time_since_user_last_trade_in_market""".split()
+LONGS = (
+    "timestamp",
+    "dt_trade",
+    "outcome_index",
+    "seconds_since_market_open",
+    "user_time_since_first_trade",
+    "market_time_since_first_trade",
+    "user_total_trades_before",
+    "user_days_active_before",
+    "time_since_user_last_trade",
+    "market_total_trades_before",
+    "num_unique_traders_last_1h",
+    "time_since_last_market_trade",
+    "user_trades_last_1h_in_market",
+    "user_trade_count_in_market",
+    "time_since_user_last_trade_in_market",
+)
 
 
 def column(c: str) -> str:
@@ -123,8 +140,8 @@ def column(c: str) -> str:
     return f"CAST({c} AS BIGINT) AS {c}" if c in LONGS else f"{r(c)} AS {c}"
 
 
-def features(*columns: str) -> str:
-    return VIEWS + " SELECT " + ", ".join(map(column, columns)) + " FROM g"
+def features(*columns: str, views: str = VIEWS) -> str:
+    return views + " SELECT " + ", ".join(map(column, columns)) + " FROM g"
 
 
 SHARDS = "CASE split WHEN 'train' THEN 256 ELSE 64 END"
@@ -173,7 +190,7 @@ PROFIT = f"""SELECT {{0}} CAST(tau AS DOUBLE) AS tau, {r("coalesce(sum((y - pric
 TAUS = "0.0, 0.05, 0.1, 0.2"
 
 
-def _feature_names() -> list[str]:
+def _feature_names() -> tuple[str, ...]:
     from ledgerloom.plans.feature_table import COLUMNS
 
     return COLUMNS
@@ -202,7 +219,26 @@ PATHS = f"""{VIEWS}, made AS (
   SELECT trade_uid, concat(['C:\\work\\LedgerLoom/data\\', 'ledgerloom/data/', 'E:/my-LEDGERLOOM\\d/', '/x/ledgerloom/a/ledgerloom/b/', 'data\\only/'][CAST(trade_uid AS BIGINT) % 5 + 1], market_id, '/part_', trade_uid) AS old FROM trades
 ), cut AS (SELECT *, replace(old, chr(92), '/') AS p, position('ledgerloom/' IN lower(replace(old, chr(92), '/'))) AS place FROM made),
 fixed AS (SELECT *, CASE WHEN place > 0 THEN substr(p, place + 11) ELSE p END AS new FROM cut)"""
-WINDOW_COLUMNS = "p_yes dp_yes_clip log_dt log_usdc_size user_recent_pnl_asinh user_avg_size_log user_days_active_log user_hist_pnl_asinh user_hist_winrate user_pnl_std_log".split()
+#: The market window's columns by place, as models read them.
+WINDOW_COLUMNS = ("p_yes", "dp_yes_clip", "log_dt", "log_usdc_size", "user_recent_pnl_asinh", "user_avg_size_log", "user_days_active_log", "user_hist_pnl_asinh", "user_hist_winrate", "user_pnl_std_log")
+PNL_COLUMNS = ("trade_uid", "user_historical_pnl_before", "user_historical_winrate_before", "user_recent_pnl_last20", "user_pnl_std_before")
+
+
+def _shuffled(seed: int, epoch: int, size: int, rounds: int = 24) -> str:
+    """The shuffle of numbered rows, a step for each round. The keys are those of the
+    plan's rounds; the number of rows is the table's own, so they are taken modulo it here."""
+    import hashlib
+
+    steps, prime = [], 2_147_483_647
+    for k in range(rounds):
+        h = hashlib.sha256(f"{seed}:{epoch}:{k}".encode()).digest()
+        x = [int.from_bytes(h[i : i + 8], "big") for i in (0, 8, 16, 24)]
+        a, b, c = (1 + y % (prime - 1) for y in x[1:])
+        mirror = f"(CAST(CAST({x[0]} AS UBIGINT) % CAST(n AS UBIGINT) AS BIGINT) - x + n) % n"
+        coin = f"((m % {prime}) * {a} + (m // {prime}) * {b} + {c}) % {prime} % 2"
+        steps.append(f"a{k} AS (SELECT *, {mirror} AS w FROM s{k}), b{k} AS (SELECT *, greatest(x, w) AS m FROM a{k}), s{k + 1} AS (SELECT trade_uid, price, row, n, CASE WHEN {coin} = 1 THEN w ELSE x END AS x FROM b{k})")
+    first = "s0 AS (SELECT trade_uid, price, row_number() OVER (ORDER BY trade_uid) - 1 AS row, count(*) OVER () AS n, row_number() OVER (ORDER BY trade_uid) - 1 AS x FROM v)"
+    return f"{VIEWS}, {first}, {', '.join(steps)} SELECT trade_uid, {r('price')} AS price, row, x // {size} AS batch_id, x % {size} AS slot FROM s{rounds}"
 
 ORACLE_SQL: dict[str, str] = {
     "trades_valid": f"{VIEWS} SELECT trade_uid, market_id AS condition_id, ts AS timestamp, {r('price')} AS price, {r('size')} AS size FROM v",
@@ -223,6 +259,15 @@ ORACLE_SQL: dict[str, str] = {
     "pair_lifetime": features("trade_uid", "user_total_usdc_in_market", "user_trade_count_in_market", "user_share_of_volume_in_market", "time_since_user_last_trade_in_market"),
     "feature_table": features(*_feature_names()),
     "feature_table_blocks": features(*_feature_names()),
+    "feature_table_whales": features(*_feature_names()),
+    "stream_feature_table": features(*_feature_names(), views=ANNOUNCED),
+    "stream_after_batch": features(*_feature_names(), views=ANNOUNCED),
+    "stream_unordered": features(*_feature_names(), views=ANNOUNCED),
+    "stream_realized_pnl": features(*PNL_COLUMNS, views=ANNOUNCED),
+    "norm_stats_merged": _stats(),
+    "epoch_batches": _shuffled(7, 3, 512),
+    "market_ranges": f"""{TOKENS}, longest AS (SELECT market_id FROM market_index ORDER BY length DESC, market_id LIMIT 3)
+      SELECT market_id, split, shard, row_number() OVER (PARTITION BY split, market_id ORDER BY timestamp, trade_uid) - 1 AS place, timestamp, trade_uid, price, y FROM tokens SEMI JOIN longest USING (market_id)""",
     "temporal_split": f"{VIEWS} SELECT market_id, end_ts, split FROM splits",
     "market_meta": f"{VIEWS} SELECT market_id, split, y FROM meta",
     "split_features": f"{VIEWS} SELECT trade_uid, v.market_id, split, CAST(y AS DOUBLE) AS label_y FROM v LEFT JOIN meta ON meta.market_id = v.market_id",
