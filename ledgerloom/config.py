@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 from pathlib import Path
 
 #: The file's name, and how many folders above the start are tried.
-NAME, ABOVE = "config.json", 4
+NAME, ABOVE = "config.json", 3
 
 
 @dataclass(frozen=True)

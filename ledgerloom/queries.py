@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,8 +170,9 @@ def pair_lifetime(s, d):
 
 
 def feature_vectors(s, d):
+    """The vectors, a row for each place."""
     rows, columns = _standard(s, d)
-    return N.shuffled_batches(N.vectors(rows, columns), seed=7, batch=512)
+    return N.vectors(rows, columns).select("trade_uid", F.posexplode("x").alias("slot", "value"))
 
 
 def baseline_model_scores(s, d):
@@ -181,10 +182,10 @@ def baseline_model_scores(s, d):
 
 
 def model_report(s, d):
-    """K4 and K6: a caller's own function as the model, by split."""
-    rows = _scored(s, d)
+    """A caller's own function as the model, by split."""
+    rows = written(_scored(s, d), "scored")
     logits = K.score_with(rows, ["price", "log_usdc_size"], lambda x: 4 * (x["price"] - 0.5) + 0.01 * x["log_usdc_size"])
-    return X.report(rows.drop("logit").join(logits, "trade_uid"), "price_rule")
+    return X.report(written(rows.drop("logit").join(logits, "trade_uid"), "scores"), "price_rule")
 
 
 def market_index(s, d):
@@ -367,6 +368,72 @@ def market_ranges(s, d):
     return sinks.read_range(s, f"{at}/sequences", f"{at}/index", "market_id", *longest).select("market_id", "split", "shard", "place", "timestamp", "trade_uid", "price", "y")
 
 
+def market_store(s, d):
+    """The sharded store of market tokens, each row with its place in its file."""
+    at = f"{scratch(s, 'store')}/sequences"
+    sinks.write_sequences(_tokens(s, d), at, "market_id")
+    return s.read.parquet(at).select("split", "shard", "market_id", "trade_uid", F.col("_metadata.row_index").alias("row"))
+
+
+def user_store(s, d):
+    """The same by user."""
+    at = f"{scratch(s, 'store')}/sequences"
+    sinks.write_sequences(_user_tokens(s, d), at, "user_id")
+    return s.read.parquet(at).select("split", "shard", "user_id", "trade_uid", F.col("_metadata.row_index").alias("row"))
+
+
+def flat_store(s, d):
+    """The flat history, written in ranges of the hash and read back."""
+    at = f"{scratch(s, 'store')}/history"
+    sinks.write_user_history(_history(s, d), at)
+    return s.read.parquet(at)
+
+
+def split_store(s, d):
+    """Features by split with the markets' metadata in the same folder."""
+    at = f"{scratch(s, 'store')}/features"
+    meta = written(_meta(s, d), "meta")
+    sinks.write_by_split(M.with_split(_features(s, d), meta), at, meta)
+    copy = s.read.parquet(f"{at}/{sinks.META}").select("market_id", F.col("y").alias("meta_y"), F.col("split").alias("meta_split"))
+    return s.read.parquet(at).select("trade_uid", "market_id", "split", "label_y").join(copy, "market_id")
+
+
+def feature_files(s, d):
+    """The feature table in files of at most a thousand rows, and how full they are."""
+    at = f"{scratch(s, 'store')}/features"
+    sinks.write_features(_features(s, d), at, rows_per_file=1000)
+    w = Window.partitionBy("file")
+    return s.read.parquet(at).select("trade_uid", "price", F.col("_metadata.file_path").alias("file")).withColumn("fits", F.count(F.lit(1)).over(w) <= 1000).drop("file")
+
+
+def split_export(s, d):
+    """A5: the table of splits as a file of its own."""
+    at = f"{scratch(s, 'store')}/splits"
+    ends = A.effective_ends(fixture.trades(s, d), fixture.markets(s, d))
+    splits = _splits(s, d).select(F.col("market_id").alias("condition_id"), "split")
+    A.split_table(ends.join(splits, "condition_id")).write.parquet(at)
+    return s.read.parquet(at)
+
+
+def scaler_file(s, d):
+    """The scaler written as JSON and read back."""
+    at = f"{scratch(s, 'store')}/scaler"
+    sinks.write_scaler(N.norm_stats(_split_features(s, d).where("split = 'train'"), N.scaled_columns(feature_table.COLUMNS)), at)
+    return sinks.read_scaler(s, at)
+
+
+def report_file(s, d):
+    """A report with its run's columns as JSON."""
+    at = f"{scratch(s, 'store')}/report"
+    sinks.write_report(core_metrics(s, d), at, {"model": "price_rule", "run": "1"})
+    return s.read.json(at)
+
+
+def binary_labels(s, d):
+    """Labels as 0 or 1, 0 where there is none."""
+    return _split_features(s, d).select("trade_uid", S.binary_label("label_y").alias("y"))
+
+
 def hour_sliding(s, d):
     return J.sliding_hours(_base(s, d))
 
@@ -384,6 +451,7 @@ _PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dual_samples_asof, market_cutoffs, target_tokens, auc, path_normalize, path_report, hash_buckets, metrics_by_split, profit_threshold, profit_sweep, confidence_metrics,
         confidence_signals, first_batch, stream_features, hour_sliding, user_sessions,
         stream_realized_pnl, stream_feature_table, stream_after_batch, stream_unordered, norm_stats_merged, epoch_batches, market_ranges,
+        market_store, user_store, flat_store, split_store, feature_files, split_export, scaler_file, report_file, binary_labels,
     )
 } | {
     "feature_table": _features,

@@ -224,6 +224,18 @@ WINDOW_COLUMNS = ("p_yes", "dp_yes_clip", "log_dt", "log_usdc_size", "user_recen
 PNL_COLUMNS = ("trade_uid", "user_historical_pnl_before", "user_historical_winrate_before", "user_recent_pnl_last20", "user_pnl_std_before")
 
 
+def _vectors() -> str:
+    """Standardised features by place, as real numbers."""
+    from ledgerloom.operators.scaling import scaled_columns
+
+    names = scaled_columns(_feature_names())
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m{i}, stddev_pop(CAST({c} AS DOUBLE)) AS d{i}" for i, c in enumerate(names))
+    values = ", ".join(f"(CAST({c} AS DOUBLE) - m{i}) / CASE WHEN d{i} > 0 THEN d{i} ELSE 1 END" for i, c in enumerate(names))
+    return f"""{VIEWS}, t AS (SELECT g.*, split FROM g LEFT JOIN meta ON meta.market_id = g.market_id), s AS (SELECT {stats} FROM t WHERE split = 'train'),
+      l AS (SELECT trade_uid, unnest([{values}]) AS value, CAST(unnest(range({len(names)})) AS BIGINT) AS slot FROM t, s)
+      SELECT trade_uid, slot, {real("value")} AS value FROM l"""
+
+
 def _shuffled(seed: int, epoch: int, size: int, rounds: int = 24) -> str:
     """The shuffle of numbered rows, a step for each round. The keys are those of the
     plan's rounds; the number of rows is the table's own, so they are taken modulo it here."""
@@ -265,6 +277,19 @@ ORACLE_SQL: dict[str, str] = {
     "stream_unordered": features(*_feature_names(), views=ANNOUNCED),
     "stream_realized_pnl": features(*PNL_COLUMNS, views=ANNOUNCED),
     "norm_stats_merged": _stats(),
+    "scaler_file": _stats(),
+    "feature_vectors": _vectors(),
+    "model_report": f"""{SCORED.replace("4 * (price - 0.5) + 0.1e0 * (CAST(trade_uid AS BIGINT) % 7) AS logit", "4 * (price - 0.5) + 0.01e0 * ln(1 + coalesce(abs(usdc_size), 0)) AS logit")},
+      a AS ({RANKS.format('split,', 'PARTITION BY split', 'split,')}) SELECT e.split, {CORE}, {r('any_value(a.auc)')} AS auc, any_value(a.n_pos) AS n_pos, any_value(a.n_neg) AS n_neg, 'price_rule' AS model
+      FROM e JOIN a ON a.split = e.split GROUP BY e.split""",
+    "market_store": f"{TOKENS} SELECT split, shard, market_id, trade_uid, row_number() OVER (PARTITION BY split, shard ORDER BY market_id, timestamp, trade_uid) - 1 AS row FROM tokens",
+    "user_store": f"{TOKENS} SELECT split, shard, user_id, trade_uid, row_number() OVER (PARTITION BY split, shard ORDER BY user_id, timestamp, trade_uid) - 1 AS row FROM user_tokens",
+    "flat_store": f"{HISTORY} SELECT * FROM history",
+    "split_store": f"{VIEWS} SELECT v.market_id, trade_uid, split, CAST(y AS DOUBLE) AS label_y, y AS meta_y, split AS meta_split FROM v JOIN meta ON meta.market_id = v.market_id",
+    "feature_files": f"{VIEWS} SELECT trade_uid, {r('price')} AS price, true AS fits FROM v",
+    "split_export": f"{VIEWS} SELECT s.market_id, effective AS effective_end_ts, split FROM splits s JOIN times USING (market_id)",
+    "report_file": f"{SCORED} SELECT {CORE}, 'price_rule' AS model, '1' AS run FROM e",
+    "binary_labels": f"{VIEWS} SELECT trade_uid, coalesce(y, 0) AS y FROM v LEFT JOIN meta ON meta.market_id = v.market_id",
     "epoch_batches": _shuffled(7, 3, 512),
     "market_ranges": f"""{TOKENS}, longest AS (SELECT market_id FROM market_index ORDER BY length DESC, market_id LIMIT 3)
       SELECT market_id, split, shard, row_number() OVER (PARTITION BY split, market_id ORDER BY timestamp, trade_uid) - 1 AS place, timestamp, trade_uid, price, y FROM tokens SEMI JOIN longest USING (market_id)""",

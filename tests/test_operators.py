@@ -172,6 +172,11 @@ def test_job_paths(tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     got = load_paths(str(tmp_path / "a" / "b"))
     assert (got.dataset_root, got.scaler_path, got.runs_dir) == (str(tmp_path / "d"), "/s.json", "s3a://b/r")
+    deep = tmp_path / "a" / "b" / "c" / "d"
+    deep.mkdir(parents=True)
+    assert load_paths(str(deep.parent)).root == str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        load_paths(str(deep))
 
 
 def test_column_roles_without_label():

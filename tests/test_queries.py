@@ -42,6 +42,10 @@ def test_equals_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["feature_vectors", "model_report"])
-def test_without_sql(spark, name):
-    assert queries.QUERIES[name](spark, DATA).count() > 0
+def test_without_sql(spark):
+    """The baseline learns: its scores tell the train labels apart better than chance."""
+    rows = queries.QUERIES["baseline_model_scores"](spark, DATA)
+    labels = queries.QUERIES["split_features"](spark, DATA).select("trade_uid", "label_y")
+    scored = rows.join(labels, "trade_uid").where("split = 'train'").select("logit", "label_y").toPandas()
+    ranks, y = scored["logit"].rank(), scored["label_y"] > 0.5
+    assert len(scored) > 100 and (ranks[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > 0.6
