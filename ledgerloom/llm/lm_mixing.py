@@ -33,6 +33,8 @@ BLOCK_TOKENS, CHUNK, CLASS_BITS, HASH_BITS, WORD_SLOTS, BYTE_SLOTS = 1_000_000,
 #: A word is frequent if it is at least that share of the training tokens.
 FREQUENT = 1e-3
 END, PLAIN, SLICES, RATE, GATES, STEPS, REPEAT = 31, 4096, 32, 0.3, 8, 24, 0.1
+#: The weight of the flat share, which the unigram base gives any word that was not seen.
+FLAT = 0.5
 #: Tables that are added up in one task.
 FAN = 16
 TABLE = PLAIN * 2 + 3 * WORD_SLOTS + 3 * BYTE_SLOTS
@@ -447,12 +449,17 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             share = np.log2(np.maximum(b.count, 1) / np.maximum(cells[kinds, b.bits], 1))
             share[(kinds == 0) | (np.arange(len(kinds)) == 0)] = 0
             bits += share[b.ids]
+            spelled = bits.copy()
+            new = np.flatnonzero((c == 0) & (b.ids > 0))
+            flat = -np.log2(n_train + 1.0 * (n_words + 1))
+            bits[new] = np.logaddexp2(bits[new] + np.log2(1 - FLAT), flat + np.log2(FLAT))
             again = _repeats(b)
-            bits += np.log2(1 - REPEAT) + np.logaddexp2(0, np.log2(np.maximum(again, 1e-300)) + np.log2(REPEAT / (1 - REPEAT)) - bits)
+            for x in (bits, spelled):
+                x += np.log2(1 - REPEAT) + np.logaddexp2(0, np.log2(np.maximum(again, 1e-300)) + np.log2(REPEAT / (1 - REPEAT)) - x)
             base = np.log10(b.count + 1.0) - np.log10(n_train + 1.0 * (n_words + 1))
             n = len(b.size)
             total = np.bincount(b.doc, bits, minlength=n)
-            out = [pa.array(b.keys, pa.int64()), pa.array([held_out(k) for k in b.keys]), b.size.astype(np.int64), np.bincount(b.doc, c > 0, minlength=n).astype(np.int64), np.full(n, n_train, np.int64), np.bincount(b.doc, base[b.ids], minlength=n), total * np.log10(2.0), -total / np.maximum(b.nbytes, 1)]
+            out = [pa.array(b.keys, pa.int64()), pa.array([held_out(k) for k in b.keys]), b.size.astype(np.int64), np.bincount(b.doc, c > 0, minlength=n).astype(np.int64), np.full(n, n_train, np.int64), np.bincount(b.doc, base[b.ids], minlength=n), total * np.log10(2.0), -np.bincount(b.doc, spelled, minlength=n) / np.maximum(b.nbytes, 1)]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
