@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import drop_table, text_of, written
 
-BLOCK_TOKENS, CHUNK, CLASS_BITS, HASH_BITS, WORD_SLOTS, BYTE_SLOTS = 1_000_000, 16_384, 5, 6, 1 << 19, 1 << 17
+BLOCK_TOKENS, CHUNK, CLASS_BITS, HASH_BITS, WORD_SLOTS, BYTE_SLOTS = 1_000_000, 16_384, 5, 3, 1 << 19, 1 << 17
 #: A word is frequent if it is at least that share of the training tokens.
 FREQUENT = 1e-3
 END, PLAIN, SLICES, RATE, GATES, STEPS, REPEAT = 31, 4096, 32, 0.3, 8, 24, 0.1
