@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components, forest
-from ledgerloom.llm.shared import drop_table, text_of, written
+from ledgerloom.llm.shared import drop_memories, drop_table, text_of, written
 
 FIRST, SEED, SLICE = 5, 42, 200_000
 
@@ -74,6 +74,7 @@ def profiles(docs: DataFrame, words: int, keys_of: Callable, text: str = "text",
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
+        drop_memories()
         hashes = Hashes()
         for batch in batches:
             begin, size, nodes, counts, bands, sets = 0, 0, [], [], [], []
@@ -103,6 +104,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int, text: str, key: str) -
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        drop_memories()
         hashes = Hashes()
         for batch in batches:
             raw = [shingles_of(t.as_py(), words, hashes).tobytes() for t in batch.column(1)]

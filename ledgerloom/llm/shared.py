@@ -7,13 +7,29 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.shared import scratch, shared_folder, written
 
-__all__ = ["drop_table", "fresh", "open_for_read", "open_for_write", "scratch", "shared_folder", "table", "text_of", "written"]
+__all__ = ["drop_memories", "drop_table", "fresh", "open_for_read", "open_for_write", "scratch", "shared_folder", "table", "text_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drop_memories() -> None:
+    """Frees what a worker process has kept since it did other operators' tasks: the token
+    encoders' memories of words, and what Arrow holds unused."""
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    for name in ("tokens", "piece_tokens"):
+        kept = getattr(sys.modules.get(f"ledgerloom.llm.{name}"), "_loaded", None)
+        if kept:
+            kept.clear()
+            gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files behind a table made by written() once nothing needs it."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

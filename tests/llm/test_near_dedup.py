@@ -54,3 +54,26 @@ def test_texts_that_share_an_id(spark):
     got = near_dedup.keep_one(docs)
     kept = sorted((r["doc_id"], r["text"]) for r in got.collect())
     assert got.columns == docs.columns and kept[:2] == sorted([(5, a), (5, b)]) and len(kept) == 3 and kept[2][1].lower() == c.lower()
+
+
+def test_a_family_costs_few_pairs(spark, monkeypatch):
+    """Texts of one origin at 0.3 to 1.0, as in a large group of near copies: the pairs
+    that are compared grow with the family, and the kept ones are those of all pairs."""
+    from ledgerloom.llm import set_links
+
+    made, real = [], set_links.similar
+
+    def counted(pairs, sets, share):
+        made[-1] += pairs.count()
+        return real(pairs, sets, share)
+
+    monkeypatch.setattr(set_links, "similar", counted)
+    rng = random.Random(8)
+    base = " ".join(words(rng, 150, 4000))
+    texts = [changed(rng, base, rng.randrange(0, 22)) for _ in range(800)]
+    for n in (200, 800):
+        made.append(0)
+        got = {r["doc_id"] for r in near_dedup.keep_one(documents(spark, texts[:n])).collect()}
+        if n == 200:
+            assert got == plain_kept(texts[:n])
+    assert made[1] < 4 * 1.5 * made[0] and made[1] < 20 * 800, made
