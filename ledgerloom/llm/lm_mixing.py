@@ -295,7 +295,7 @@ def _counted(blocks: DataFrame):
             at = np.flatnonzero(b.train)
             for _, _, bit, places in _chunks(b, at, b.count[b.ids[at]] - 1):
                 # An addend of the table's own type: else each addition is cast.
-                np.add.at(table, (places.astype(np.int64) * 2 + bit).ravel(), np.int64(1))
+                np.add.at(table, (places * np.int32(2) + bit).ravel(), np.int64(1))
         yield _sliced(table)
 
     out = _total(blocks.mapInArrow(run, "slice int, part int, payload binary"), _width(2 * TABLE))
@@ -328,6 +328,8 @@ def _learned(blocks: DataFrame, counts):
     import numpy as np
 
     gates = 3 * GATES
+    # Single precision: half the memory that look-ups go through.
+    of_zero, of_one = (x.astype(np.float32) for x in counts)
 
     def run(batches: Iterator) -> Iterator:
         sums, hits = np.zeros((gates, 5)), np.zeros((2, gates * STEPS))
@@ -338,12 +340,16 @@ def _learned(blocks: DataFrame, counts):
             at = at[b.train[at]]
             w, heard = np.full((gates, 4), 0.3), np.zeros(gates)
             for group, _, bit, places in _chunks(b, at, b.count[b.ids[at]] - 1):
-                bit, places = bit.ravel(), places.reshape(4, -1)
-                one = np.maximum(counts[1].take(places) - bit, 0).astype(np.float32)
-                zero = np.maximum(counts[0].take(places) - ~bit, 0).astype(np.float32)
+                bit, places = bit.ravel().astype(np.float32), places.reshape(4, -1)
+                one, zero = of_one.take(places), of_zero.take(places)
+                np.maximum(one - bit, 0, out=one)
+                np.maximum(zero - (1 - bit), 0, out=zero)
                 x = _stretch(one, zero)
                 g = group * GATES + _bucket(one[2] + zero[2]).astype(np.int64)
-                score = sum(x[i] * w[g, i] for i in range(4))
+                now = w.astype(np.float32).T.copy()
+                score = now[0].take(g) * x[0]
+                for i in (1, 2, 3):
+                    score += now[i].take(g) * x[i]
                 p = 1 / (1 + np.exp(-np.clip(score, -20, 20)))
                 cell = g * STEPS + _cell(score)
                 hits[0] += np.bincount(cell, bit, minlength=gates * STEPS)
