@@ -29,7 +29,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at a Jaccard similarity of 0.8 or more stays: the one of
-    the least id. Rows with a null id stay."""
+    the least id. SimHash classes come first, an exact check of the sets follows. Rows with
+    a null id stay."""
     return near_dedup.keep_one(docs)
 
 

@@ -1,7 +1,11 @@
-"""Near-duplicate documents by the similarity of their five-word shingles.
+"""Near-duplicate documents by SimHash, confirmed by their five-word shingles.
 
-Documents with equal sets of shingles are one node. Nodes that share the least hashes
-of one of BANDS bands meet, and a pair that met is linked if its sets' Jaccard
+Documents with equal sets of shingles are one node with a SimHash fingerprint of its
+shingles. Fingerprints at simhash.RADIUS or fewer bits are found by simhash's generalised
+pigeonhole search and joined to classes; each node meets the first of its class, and the
+pair is confirmed on the sets. Similarity SIMILAR leaves fingerprints about ten bits apart,
+far beyond a radius that can be searched, so an exact step follows for what the classes
+leave apart: nodes that share the least hashes of one of BANDS bands meet, and a pair that met is linked if its sets' Jaccard
 similarity is at least SIMILAR per cent. At 0.8 a pair meets with a chance of 0.9996,
 above it with a greater one. How the pairs are found without comparing all of a bucket:
 see set_links.
@@ -12,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import simhash
 from ledgerloom.llm.set_links import SEED, grouped
 from ledgerloom.llm.shared import fresh, text_of, written
 
@@ -44,7 +49,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     equal sets of shingles under that id one stays. An empty table gives an empty
     table; other columns stay as they are, whatever their names."""
     own_text, same_text, kept_id = fresh(docs, "own", "same", "kept")
-    known = grouped(docs, WORDS, SIMILAR, bands_of, text, key).where("doc_id IS NOT NULL")
+    known = grouped(docs, WORDS, SIMILAR, bands_of, text, key, simhash.print_of, simhash.class_pairs).where("doc_id IS NOT NULL")
     worded = known.where((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.node") == F.col("node"))).select("doc_id", "node", "same")
     blank = known.where("node IS NULL").select("doc_id", "node", "same")
     least = blank.agg(F.min("doc_id").alias("least"))

@@ -65,10 +65,11 @@ def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def profiles(docs: DataFrame, words: int, keys_of: Callable, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, same, node, n, bands), a row for each document. same: a hash of the text;
+def profiles(docs: DataFrame, words: int, keys_of: Callable, text: str = "text", key: str = "doc_id", print_of: Callable | None = None) -> DataFrame:
+    """(doc_id, same, node, n, bands, fp), a row for each document. same: a hash of the text;
     node: a hash of its set of n shingles, null without words; bands: keys_of(sets) for
-    a list of sets that are not empty gives a list of signed longs for each."""
+    a list of sets that are not empty gives a list of signed longs for each; fp: the set's
+    fingerprint of 64 bits, null without words or print_of."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -77,24 +78,25 @@ def profiles(docs: DataFrame, words: int, keys_of: Callable, text: str = "text",
         drop_memories()
         hashes = Hashes()
         for batch in batches:
-            begin, size, nodes, counts, bands, sets = 0, 0, [], [], [], []
+            begin, size, nodes, counts, bands, prints, sets = 0, 0, [], [], [], [], []
             for i, t in enumerate(batch.column(1), 1):
                 own = shingles_of(t.as_py(), words, hashes)
                 nodes.append(_signed(xxh64_intdigest(own.tobytes(), SEED)) if len(own) else None)
                 counts.append(len(own))
+                prints.append(_signed(print_of(own)) if print_of and len(own) else None)
                 sets.append(own)
                 size += len(own)
                 if size >= SLICE or i == batch.num_rows:
                     keys = iter(keys_of([x for x in sets if len(x)]))
                     bands = [next(keys) if len(x) else [] for x in sets]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(begin, i - begin), batch.column(2).slice(begin, i - begin), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                        ["doc_id", "same", "node", "n", "bands"],
+                        [batch.column(0).slice(begin, i - begin), batch.column(2).slice(begin, i - begin), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.int64())],
+                        ["doc_id", "same", "node", "n", "bands", "fp"],
                     )
-                    begin, size, nodes, counts, sets = i, 0, [], [], []
+                    begin, size, nodes, counts, prints, sets = i, 0, [], [], [], []
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text), F.xxhash64(text_of(text)).alias("same"))
-    return rows.mapInArrow(run, "doc_id long, same long, node long, n long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, same long, node long, n long, bands array<long>, fp long")
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, words: int, text: str, key: str) -> DataFrame:
@@ -208,14 +210,25 @@ def _roots(found: DataFrame) -> DataFrame:
     return written(components(forest(found)), "roots")
 
 
-def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: int) -> DataFrame:
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: int, met: DataFrame | None = None) -> DataFrame:
     """(u, v): similar pairs with the components of all similar pairs that met. nodes: (node,
-    n, bands), a row for each node; sets_of(nodes) gives their (node, shingles)."""
+    n, bands), a row for each node; sets_of(nodes) gives their (node, shingles). met: pairs
+    (u, v) that another method found; they are confirmed first, and buckets then only join
+    what these have left apart."""
     cells = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).withColumn("at", F.xxhash64("band", "key"))
     shared = cells.groupBy("at").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("at")
     cells = written(cells.join(shared, "at").select("at", "node", "n", "band"), "buckets")
-    sets = written(sets_of(cells.select("node").distinct()), "sets")
-    found = similar(_stars(cells.where(F.col("band") < FIRST).withColumn("root", F.col("node")), share), sets, share)
+    asked = cells.select("node")
+    if met is not None:
+        met = written(met, "met")
+        asked = asked.unionAll(met.select("u")).unionAll(met.select("v"))
+    sets = written(sets_of(asked.distinct()), "sets")
+    begin = cells.where(F.col("band") < FIRST)
+    if met is None:
+        found = similar(_stars(begin.withColumn("root", F.col("node")), share), sets, share)
+    else:
+        found = similar(met, sets, share)
+        found = found.unionAll(similar(_stars(_mixed(begin, _roots(found)), share), sets, share))
     roots = _roots(found)
     mixed = written(_mixed(cells, roots), "mixed-buckets")
     found = written(found.unionAll(similar(_stars(mixed, share), sets, share)), "linked")
@@ -237,24 +250,27 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: in
     return found
 
 
-def grouped(docs: DataFrame, words: int, share: int, keys_of: Callable, text: str = "text", key: str = "doc_id") -> DataFrame:
+def grouped(docs: DataFrame, words: int, share: int, keys_of: Callable, text: str = "text", key: str = "doc_id", print_of: Callable | None = None, pairs_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, same, node, n, least, root, first): a row for each document. root names the
     component of its node (null without words); least: the least doc_id of its node;
-    first: the struct (doc_id, node) of the component's least doc_id that is not null."""
-    rows = written(profiles(docs, words, keys_of, text, key), "profiles")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "same")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    first: the struct (doc_id, node) of the component's least doc_id that is not null.
+    pairs_of: pairs (u, v) of nodes (node, fp) by their fingerprints, to be confirmed before
+    any bucket is looked at; print_of: the fingerprint of a set."""
+    rows = written(profiles(docs, words, keys_of, text, key, print_of), "profiles")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "same")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     nodes = written(nodes, "nodes")
 
     def sets_of(chosen: DataFrame) -> DataFrame:
         one = nodes.join(chosen, "node", "left_semi").select("node", "one.doc_id", "one.same")
         return _sets(docs, one, words, text, key)
 
-    roots = _roots(links(nodes, sets_of, share))
+    met = pairs_of(nodes.select("node", "fp")) if pairs_of else None
+    roots = _roots(links(nodes, sets_of, share, met))
     named = nodes.select("node", F.col("one.doc_id").alias("least")).join(roots, "node", "left")
     named = written(named.select("node", "least", F.coalesce("component", "node").alias("root")), "named")
     first = named.where("least IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("least").alias("doc_id"), "node")).alias("first"))
     classes = named.join(first, "root", "left").select("node", "least", "root", "first")
-    rows = rows.drop("bands")
+    rows = rows.drop("bands", "fp")
     none = [F.lit(None).cast(classes.schema[c].dataType).alias(c) for c in ("least", "root", "first")]
     return rows.where("node IS NOT NULL").join(classes.hint("merge"), "node").select("doc_id", "same", "node", "n", "least", "root", "first").unionAll(rows.where("node IS NULL").select("doc_id", "same", "node", "n", *none))
 

@@ -39,7 +39,13 @@ def fingerprint_of(text: str, words: int = WORDS) -> int:
     for w in parts:
         starts.append(starts[-1] + len(w) + 1)
     ends = starts[words:] if len(parts) >= words else starts[-1:]
-    h = np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends, strict=False)], "<u8")
+    return print_of(np.array([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip(starts, ends, strict=False)], "<u8"))
+
+
+def print_of(h) -> int:
+    """Bits that are set in over half of an array of 64-bit hashes."""
+    import numpy as np
+
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -196,6 +202,17 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return probe.join(index.hint("merge"), met).select("u", "v").distinct()
 
 
+def class_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v), u < v: of nodes (node, fp), each with the least node of its class, the nodes
+    that links of at most radius differing bits join. One pair a node at most."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    roots = components(links(prints.select("fp"), radius))
+    named = written(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "named")
+    firsts = named.groupBy("root").agg(F.min("least").alias("first"))
+    met = nodes.select("node", "fp").join(named.join(firsts, "root").select("fp", "first").hint("merge"), "fp").where("node <> first")
+    return met.select(F.least("node", "first").alias("u"), F.greatest("node", "first").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of docs; component_id is the
     least doc_id reachable over links of at most radius differing bits.
