@@ -17,10 +17,17 @@ USER_COLUMNS = ["price", "p_yes", "outcome_index"]
 UNKNOWN = 0.5
 
 
-def numbered(tokens: DataFrame, key: str = "market_id") -> DataFrame:
-    """Tokens with their place from 0 and the number of tokens of their key."""
-    w = Window.partitionBy("split", key).orderBy("timestamp", "trade_uid")
-    return tokens.withColumns({"pos": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("split", key))})
+def numbered(tokens: DataFrame, key: str = "market_id", block: int = 86_400) -> DataFrame:
+    """Tokens with their place from 0 and the number of tokens of their key: places within
+    time blocks of `block` seconds, and one row a block for what comes before it, so that
+    no task orders all tokens of a large key. Tokens without a split or key are left out."""
+    keys, place = ["split", key], F.floor(F.col("timestamp") / block)
+    rows = tokens.withColumn("_b", place)
+    w, whole = Window.partitionBy(*keys, "_b").orderBy("timestamp", "trade_uid"), Window.partitionBy(*keys)
+    sums = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sums = sums.select(*keys, "_b", (F.sum("_n").over(whole.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n"))
+    rows = rows.withColumn("_in", F.row_number().over(w) - 1).join(sums, [*keys, "_b"])
+    return rows.select(*tokens.columns, (F.col("_in") + F.col("_before")).alias("pos"), "n")
 
 
 def cutoff(n: Column, key: Column, min_prefix: int, mode: str, epoch: int) -> Column:
