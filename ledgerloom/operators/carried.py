@@ -40,7 +40,16 @@ def _past(key: Sequence[str]):
 
 def carry(rows: DataFrame, carried: DataFrame, keys: Sequence[str], state: str) -> DataFrame:
     """rows with their key's carried row as the struct _c; null where nothing came before."""
-    return rows.join(carried.select(*keys, F.struct(*fields(state)).alias("_c")), list(keys), "left")
+    more = [_squares().alias("squares")] if state == USER_STATE else []
+    return rows.join(carried.select(*keys, F.struct(*fields(state), *more).alias("_c")), list(keys), "left")
+
+
+def _squares() -> Column:
+    """Sums of the squares of the tail's last 0, 1, 2, ... gaps: once for a key, so that its
+    rows need no loop."""
+    places = F.when(F.size("tail") > 1, F.sequence(F.lit(1), F.size("tail") - 1)).otherwise(F.array().cast("array<int>"))
+    gap = lambda i: F.element_at("tail", -i) - F.element_at("tail", -i - 1)
+    return F.aggregate(places, F.array(F.lit(0).cast("long")), lambda sums, i: F.concat(sums, F.array(F.element_at(sums, -1) + gap(i) * gap(i))))
 
 
 def _or(name: str, other) -> Column:
@@ -160,7 +169,6 @@ def user_after(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """user_lifetime() of the run's rows, which have _c."""
     w = Window.partitionBy(*keys).orderBy(*T.ORDER)
     past, day, size = T.before(w), F.expr(_DAY), F.abs("size")
-    none = F.array().cast("array<long>")
     rows = rows.withColumns({
         "_new_day": (day != F.coalesce(F.lag(day).over(w), F.col("_c.day"))).cast("long"),
         "_gap": F.col("timestamp") - F.coalesce(F.lag("timestamp").over(w), F.col("_c.last")),
@@ -168,15 +176,18 @@ def user_after(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     })
     mean, m2 = _chan(_or("n", 0), _or("mean", 0.0), _or("m2", 0.0), F.col("_n"), F.col("_mean"), F.col("_m2"))
     last20 = w.rowsBetween(-RECENT, -1)
-    tail = _or("tail", none)
-    old = F.when(F.size(tail) > 1, F.zip_with(F.slice(tail, 2, RECENT + 1), F.slice(tail, 1, F.size(tail) - 1), lambda b, a: b - a)).otherwise(none)
-    # Within the run the frame is enough; at its beginning gaps of the tail stand before.
-    gaps = _last(F.concat(old, F.collect_list("_gap").over(last20)), RECENT)
-    average = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / F.size(gaps)
-    spread = F.aggregate(F.transform(gaps, lambda x: (x - average) * (x - average)), F.lit(0.0), lambda a, x: a + x) / F.size(gaps)
+    gap = F.col("_gap")
+    rows = rows.withColumns({"_g": F.count(gap).over(last20), "_gs": F.coalesce(F.sum(gap).over(last20), F.lit(0)), "_gq": F.coalesce(F.sum(gap * gap).over(last20), F.lit(0)), "_gv": F.var_pop(gap).over(last20)})
+    # Within the run the frame is enough; at its beginning gaps of the tail stand before,
+    # whose sum is the time from first to last. Whole numbers, so the variance is exact.
+    rows = rows.withColumn("_old", F.least(F.lit(RECENT) - F.col("_g"), F.size("_c.tail") - 1).cast("int"))
+    many = F.col("_g") + F.col("_old")
+    total = F.col("_gs") + F.element_at("_c.tail", -1) - F.element_at("_c.tail", -1 - F.col("_old"))
+    squares = F.col("_gq") + F.element_at("_c.squares", F.col("_old") + 1)
+    spread = (many.cast("decimal(5,0)") * squares.cast("decimal(20,0)") - total.cast("decimal(15,0)") * total.cast("decimal(15,0)")).cast("double") / (many * many)
     n = F.col("_n") + _or("n", 0)
     short = (F.col("_n") < RECENT) & F.col("_c").isNotNull()
-    burst = F.when(short, F.when(F.size(gaps) >= 2, spread).otherwise(0.0)).otherwise(F.when(F.count("_gap").over(last20) >= 2, F.var_pop("_gap").over(last20)).otherwise(0.0))
+    burst = F.when(short, F.when(many >= 2, spread).otherwise(0.0)).otherwise(F.when(F.col("_g") >= 2, F.col("_gv")).otherwise(0.0))
     return rows.withColumns({
         "user_total_trades_before": n,
         "user_total_volume_before": F.coalesce(F.sum("usdc").over(past), F.lit(0.0)) + _or("v", 0.0),
@@ -186,7 +197,7 @@ def user_after(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         "user_std_size_before": F.when(n > 0, F.sqrt(F.greatest(m2, F.lit(0.0)) / n)).otherwise(F.lit(0.0)),
         "time_since_user_last_trade": F.coalesce("_gap", F.lit(-1)),
         "user_activity_burstiness": burst,
-    }).drop("_new_day", "_gap", "_n", "_mean", "_m2", "_c")
+    }).drop("_new_day", "_gap", "_n", "_mean", "_m2", "_c", "_g", "_gs", "_gq", "_gv", "_old")
 
 
 # ---- profits
