@@ -98,7 +98,8 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 
 
 def _standard(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    rows = _split_features(s, d)
+    # Read for the statistics, for each round of a fit, and for the rows.
+    rows = written(_split_features(s, d), "split-features")
     columns = N.scaled_columns(rows.columns)
     stats = N.norm_stats(rows.where("split = 'train'"), columns)
     return N.standardised(rows, stats, columns), columns
@@ -197,7 +198,7 @@ def user_index(s, d):
 
 
 def market_windows(s, d):
-    rows = P.market_windows(_tokens(s, d), WINDOW)
+    rows = P.market_windows(written(_tokens(s, d), "market-tokens"), WINDOW)
     rows = rows.select("split", "market_id", F.posexplode(F.arrays_zip("market_x", "market_mask", "market_y")).alias("slot", "t"))
     x = [F.round(F.col("t.market_x")[i].cast("double"), 4).alias(c) for i, c in enumerate(P.MARKET_COLUMNS)]
     return rows.select("split", "market_id", "slot", F.col("t.market_mask").alias("mask"), F.col("t.market_y").alias("y"), *x)
@@ -223,12 +224,12 @@ def dual_samples_asof(s, d):
 
 def market_cutoffs(s, d):
     """Where the sample of each market ends when the cutoff is drawn by a hash."""
-    rows = P.numbered(_tokens(s, d)).where("n >= 10").select("split", "market_id", "n").distinct()
+    rows = P.numbered(written(_tokens(s, d), "market-tokens")).where("n >= 10").select("split", "market_id", "n").distinct()
     return rows.select("split", "market_id", "n", P.cutoff(F.col("n"), F.col("market_id"), 10, "hash", 3).alias("cut"))
 
 
 def target_tokens(s, d):
-    return P.targets(P.market_windows(_tokens(s, d), WINDOW, P.DUAL_COLUMNS))
+    return P.targets(P.market_windows(written(_tokens(s, d), "market-tokens"), WINDOW, P.DUAL_COLUMNS))
 
 
 def auc(s, d):
