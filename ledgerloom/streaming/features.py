@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,21 +46,29 @@ def _user(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 def _market(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """All rows of a micro-batch at once: work per row does not grow with the hour's trades.
+    Sums of an hour are differences of prefix sums in extended precision."""
     n, volume, last, yes, no, recent = state.get if state.exists else (0, 0.0, None, 0.0, 0.0, [])
-    recent, out = [(x["ts"], x["usdc"]) if not isinstance(x, tuple) else tuple(x) for x in recent], []
-    for r in _rows(batches).itertuples():
-        recent = [x for x in recent if x[0] >= r.timestamp - HOUR]
-        out.append((r.trade_uid, key[0], n, volume, -1 if last is None else r.timestamp - last, yes, no, float(sum(x[1] for x in recent))))
-        n, volume, last = n + 1, volume + r.usdc, r.timestamp
-        yes, no = (r.price, no) if r.outcome_index == 1 else (yes, r.price)
-        recent.append((int(r.timestamp), float(r.usdc)))
-    state.update((n, float(volume), last, float(yes), float(no), recent))
-    yield pd.DataFrame(out, columns=[x.split()[0] for x in MARKET_OUT.split(", ")])
+    recent = [(x["ts"], x["usdc"]) if not isinstance(x, tuple) else tuple(x) for x in recent]
+    rows = _rows(batches)
+    ts, usdc, price = rows["timestamp"].to_numpy(np.int64), rows["usdc"].to_numpy(float), rows["price"].to_numpy(float)
+    is_yes = rows["outcome_index"].to_numpy(float) == 1
+    times, sizes = np.concatenate([np.array([x[0] for x in recent], np.int64), ts]), np.concatenate([[x[1] for x in recent], usdc])
+    sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.longdouble)])
+    hour = sums[len(recent) : -1] - sums[np.searchsorted(times, ts - HOUR)]
+    before = np.cumsum(np.concatenate([[volume], usdc]))
+    prices = [pd.Series(np.concatenate([[x], np.where(test, price, np.nan)])).ffill().to_numpy() for x, test in ((yes, is_yes), (no, ~is_yes))]
+    gap = np.diff(ts, prepend=ts[:1] + 1 if last is None else last)
+    values = (rows["trade_uid"].to_numpy(), key[0], np.arange(n, n + len(ts)), before[:-1], gap, prices[0][:-1], prices[1][:-1], hour.astype(float))
+    kept = times >= ts[-1] - HOUR
+    state.update((n + len(ts), float(before[-1]), int(ts[-1]), float(prices[0][-1]), float(prices[1][-1]), list(zip(times[kept].tolist(), sizes[kept].tolist(), strict=True))))
+    yield pd.DataFrame(dict(zip([x.split()[0] for x in MARKET_OUT.split(", ")], values, strict=True)))
 
 
 def keyed_features(rows: DataFrame, key: str) -> DataFrame:
     """A stream of base() rows with the features of its key, "user_id" or "market_id"."""
     step, out, state = (_user, USER_OUT, USER_STATE) if key == "user_id" else (_market, MARKET_OUT, MARKET_STATE)
+    rows = rows.select(key, "trade_uid", "timestamp", "usdc", *(("end_ts", "pnl_raw") if key == "user_id" else ("price", "outcome_index")))
     return rows.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
