@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,11 +38,18 @@ SHUFFLE_SEED, EPOCH, BATCH = 7, 3, 512
 MICRO_BATCHES, FILES, DELAY = 3, 8, 50_000
 
 
+def _rounded(x: Column) -> Column:
+    """x with its little more, rounded to six places, or to one from a million on."""
+    by = lambda more, unit: F.rint((x + more) * unit) / unit
+    # Beyond that, units are too large for whole numbers of doubles.
+    return F.when(F.abs(x) < 1e6, by(3.7e-8, 1e6)).when(F.abs(x) < 1e14, by(0.0137, 10.0)).otherwise(F.round(x + 0.0137, 1)) + 0.0
+
+
 def tidy(df: DataFrame) -> DataFrame:
     out = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            out[f.name] = F.when(F.abs(f.name) >= 1e6, F.round(F.col(f.name) + 0.0137, 1)).otherwise(F.round(F.col(f.name) + 3.7e-8, 6)) + 0.0
+            out[f.name] = _rounded(F.col(f.name))
         elif isinstance(f.dataType, T.FloatType):
             out[f.name] = F.round(F.col(f.name).cast("double"), 4) + 0.0
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):

@@ -70,3 +70,21 @@ def test_market_stream_is_not_quadratic_in_the_hour():
         assert got["time_since_last_market_trade"][i] == (rows["timestamp"][i] - rows["timestamp"][i - 1] if i else -1)
         yes = past[past["outcome_index"] == 1]["price"]
         assert got["last_price_yes"][i] == (yes.iloc[-1] if len(yes) else 0.0)
+
+
+def test_the_hour_copies_no_rows(spark):
+    """Running sums give the sweep and the distinct traders, exact beside huge values, and
+    the rows are read once: no branch of leaving rows computes them again."""
+    rng = np.random.default_rng(5)
+    rows = [("m", f"u{rng.integers(9)}", int(t), f"{i:04}", 1e17 if i == 50 else float(rng.integers(1, 10**6)) / 1000) for i, t in enumerate(np.sort(rng.integers(0, 40_000, 300)))]
+    df = spark.createDataFrame(rows, "market_id string, user_id string, timestamp long, trade_uid string, usdc double").withColumns({"price": F.lit(0.33), "size": F.col("usdc")})
+    out = T.market_traders(T.pair_hour(T.market_hour(df, "sweep"), "sweep"))
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    have = {r["trade_uid"]: r for r in out.collect()}
+    for i, (_, user, at, uid, _) in enumerate(rows):
+        hour = [x for x in rows[:i] if x[2] >= at - 3600]
+        mine = [x[4] for x in hour if x[1] == user]
+        r = have[uid]
+        assert r["market_volume_last_1h"] == pytest.approx(sum(x[4] for x in hour), rel=1e-12, abs=1e-9) and r["market_volatility_1h"] == pytest.approx(0, abs=1e-7)
+        assert (r["num_unique_traders_last_1h"], r["user_trades_last_1h_in_market"]) == (len({x[1] for x in hour}), len(mine))
+        assert r["user_usdc_last_1h_in_market"] == pytest.approx(sum(mine), rel=1e-12, abs=1e-9)
