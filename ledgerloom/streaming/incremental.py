@@ -146,15 +146,17 @@ class Build:
 
     def _build(self, run: DataFrame, last: dict, version: int, frontier: int | None, whole: bool) -> DataFrame:
         old = {kind.name: self._write(self.state(kind, last), f"old-{kind.name}", version) for kind in (MARKETS, USERS, PAIRS, PROFITS)}
-        rows = C.market_after(C.carry(run, old["markets"], ["market_id"], C.MARKET_STATE), ["market_id"])
+        # Markets in time blocks, so that no task orders all of a market's rows of this run.
+        rows = T.market_in_blocks(run, feature_table.BLOCK, old["markets"])
         rows = C.pair_after(C.carry(rows, old["pairs"], PAIRS.keys, C.PAIR_STATE), PAIRS.keys)
         # The hour before the run: trades of a market's last version within an hour of its end.
         halo = self._read("hours", f"{HALO}, version long", range(last["base"], last["version"] + 1))
         halo = halo.join(old["markets"].select("market_id", "version"), ["market_id", "version"], "left_semi").drop("version")
         touched = run.select("market_id").distinct()
         near = halo.join(touched, "market_id", "left_semi")
-        rows = rows.withColumn("_own", F.lit(True)).unionByName(near.withColumn("_own", F.lit(False)), allowMissingColumns=True)
-        rows = T.market_traders(T.pair_hour(T.market_hour(rows))).where("_own").drop("_own")
+        rows = rows.withColumn("_new", F.lit(True)).unionByName(near.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        rows = T.with_halo(rows, feature_table.BLOCK)
+        rows = T.own(T.market_traders(T.pair_hour(T.market_hour(rows, "sweep"), "sweep")).where("_new")).drop("_new")
         rows = C.user_after(C.carry(rows, old["users"], ["user_id"], C.USER_STATE), ["user_id"])
         # Profits that are known by the frontier: of this run's trades, or kept from before.
         events = C.pnl_events(run)
@@ -235,7 +237,7 @@ class Build:
         last = run.groupBy("market_id").agg(F.max("timestamp").alias("_last"))
         hour = run.join(last, "market_id").where(F.col("timestamp") >= F.col("_last") - T.HOUR)
         self._write(hour.select(*[x.split()[0] for x in HALO.split(", ")]).withColumn("version", at), "hours", 0)
-        built = self._write(feature_table.of(run, std_mode=self.std_mode), "features", 0)
+        built = self._write(feature_table.of(run, "sweep", self.std_mode), "features", 0)
         row = (0, 0, end, frontier, built.count(), 0, 0)
         self.spark.createDataFrame([row], COMMIT).write.mode("overwrite").parquet(self._at("commits", 0))
         self._delete(self._at("run", 0))
