@@ -14,8 +14,8 @@ document's own words adapt the model: with weight REPEAT a token is drawn from
 the document's tokens before it.
 
 On Spark: blocks of whole documents (about BLOCK_TOKENS) hold their own word
-list and ids; word counts are summed over all blocks by a window and go back to the
-blocks, a row for each block and word. The predictors' tables have a fixed size; tasks send their
+list and ids; word counts are summed over all blocks, shard by shard of the words'
+hashes, and go back to the blocks, a row of arrays for each block and shard. The predictors' tables have a fixed size; tasks send their
 own tables in slices, which are added up in as many levels as the tasks' number asks for.
 """
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import drop_table, text_of, written
@@ -35,6 +35,8 @@ FREQUENT = 1e-3
 END, PLAIN, SLICES, RATE, GATES, STEPS, REPEAT = 31, 4096, 32, 0.3, 8, 24, 0.1
 #: The weight of the flat share, which the unigram base gives any word that was not seen.
 FLAT = 0.5
+#: Shards of the words' hashes, each of which is counted by itself.
+WORD_SHARDS = 1024
 #: Tables that are added up in one task.
 FAN = 16
 TABLE = PLAIN * 2 + 3 * WORD_SLOTS + 3 * BYTE_SLOTS
@@ -100,8 +102,8 @@ def _blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _block_words(blocks: DataFrame) -> DataFrame:
-    """(block, at, h, g, n): the words of each block, by 96 hash bits, with their
-    counts in its training documents. A word has one row a block at most."""
+    """(shard, block, at, h, g, n): the words of each block, by 96 hash bits, with their
+    counts in its training documents. A row holds a block's words of one shard as arrays."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -115,11 +117,49 @@ def _block_words(blocks: DataFrame) -> DataFrame:
                 ids = np.frombuffer(_unpacked(r["ids"]), "<i4")
                 train = np.repeat([not held_out(k) for k in r["keys"]], r["size"])
                 n = np.bincount(ids[train], minlength=len(words))
-                h = np.array([xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
-                g = np.array([xxh32_intdigest(w, 43) for w in words], np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), r["block"])), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(h), pa.array(g), pa.array(n)], ["block", "at", "h", "g", "n"])
+                h = np.array([xxh64_intdigest(w, 42) for w in words], np.uint64)
+                g = np.array([xxh32_intdigest(w, 43) for w in words], np.uint32)
+                shard = (g & np.uint32(WORD_SHARDS - 1)).astype(np.int32)
+                order = np.argsort(shard, kind="stable")
+                ends = np.searchsorted(shard[order], np.arange(WORD_SHARDS + 1)).tolist()
+                own = [k for k in range(WORD_SHARDS) if ends[k] < ends[k + 1]]
+                raw = [[x[ends[k] : ends[k + 1]].tobytes() for k in own] for x in (order.astype("<i4"), h[order], g[order], n[order])]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([r["block"]] * len(own), pa.int64()), *(pa.array(x, pa.binary()) for x in raw)], ["shard", "block", "at", "h", "g", "n"])
 
-    return blocks.select("block", "keys", "size", "words", "ids").mapInArrow(run, "block long, at int, h long, g int, n long")
+    return blocks.select("block", "keys", "size", "words", "ids").mapInArrow(run, "shard int, block long, at binary, h binary, g binary, n binary")
+
+
+def _word_counts(words: DataFrame) -> DataFrame:
+    """(block, at, c) for each block and shard: its words that stand in training documents
+    and their counts over all blocks; and for each shard a row without a block, with its
+    distinct words (n_words) and their counts summed by cell (cell, sums)."""
+
+    def add(table):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        at, h, g, n = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("at", "<i4"), ("h", "<u8"), ("g", "<u4"), ("n", "<i8")))
+        ends = np.append(0, np.cumsum([len(x) for x in at]))
+        h, g, n = np.concatenate(h), np.concatenate(g), np.concatenate(n)
+        order = np.lexsort((g, h))
+        h, g = h[order], g[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
+        total = np.add.reduceat(n[order], np.flatnonzero(new))
+        c = np.empty(len(order), np.int64)
+        c[order] = total[np.cumsum(new) - 1]
+        known = np.flatnonzero(total > 0)
+        h, total = h[new][known], total[known]
+        kind = np.where(h == np.uint64(xxh64_intdigest(b"", 42)), END, size_class(total))
+        cell, of = np.unique(kind << HASH_BITS | (h & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64), return_inverse=True)
+        sums = np.zeros(len(cell), np.int64)
+        np.add.at(sums, of, total)
+        found = [(x[keep := y > 0].tobytes(), y[keep].tobytes()) for x, y in zip(at, np.split(c, ends[1:-1]), strict=True)]
+        blocks, longs = table.column("block").to_pylist(), pa.list_(pa.int64())
+        none, columns = [None] * len(blocks), zip(*found, (None, None), strict=True)
+        return pa.table([pa.array([*blocks, None], pa.int64()), *(pa.array(x, pa.binary()) for x in columns), pa.array([*none, len(known)], pa.int64()), pa.array([*none, cell], longs), pa.array([*none, sums], longs)], ["block", "at", "c", "n_words", "cell", "sums"])
+
+    return words.groupBy("shard").applyInArrow(add, "block long, at binary, c binary, n_words long, cell array<long>, sums array<long>")
 
 
 def _each(batches: Iterator) -> Iterator:
@@ -142,8 +182,8 @@ def _mixed(*parts):
 
     h = np.uint32(2166136261)
     for p in parts:
-        h = (h ^ np.asarray(p).astype(np.uint32)) * np.uint32(0x9E3779B1)
-        h = h ^ (h >> np.uint32(15))
+        h = (h ^ np.asarray(p).astype(np.uint32, copy=False)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
     return h
 
 
@@ -160,7 +200,8 @@ class Block:
         self.size, self.nbytes = flat("size").to_numpy(), flat("nbytes").to_numpy()
         self.ids, n_train = np.frombuffer(_unpacked(one("ids")), "<i4"), one("n_train")
         self.count = np.zeros(len(self.words), np.int64)
-        self.count[flat("at").to_numpy()] = flat("c").to_numpy()
+        for at, c in zip(one("at"), one("c"), strict=True):
+            self.count[np.frombuffer(at, "<i4")] = np.frombuffer(c, "<i8")
         full = np.array([xxh64_intdigest(w, 42) for w in self.words], np.uint64)
         self.hash, self.bits = (full >> np.uint64(32)).astype(np.uint32), (full & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.size)), self.size)
@@ -185,10 +226,10 @@ def _word_decisions(block: Block, at, kind):
     class decisions of tokens `at` (group 0) and of the hash decisions (group 1)."""
     import numpy as np
 
-    d, kind = np.arange(CLASS_BITS), kind.astype(np.int32)
+    d, kind = np.arange(CLASS_BITS, dtype=np.int32), kind.astype(np.int32)
     known = np.flatnonzero((kind > 0) & (kind != END))
     h = block.bits[block.ids[at[known]]].astype(np.int32)
-    e = np.arange(HASH_BITS)
+    e = np.arange(HASH_BITS, dtype=np.int32)
     parts = (
         (0, np.arange(len(at)), (1 << d) | (kind[:, None] >> (CLASS_BITS - d)), (kind[:, None] >> (CLASS_BITS - 1 - d)) & 1),
         (1, known, 32 + kind[known, None] * 64 + ((1 << e) | (h[:, None] >> (HASH_BITS - e))), (h[:, None] >> (HASH_BITS - 1 - e)) & 1),
@@ -196,9 +237,11 @@ def _word_decisions(block: Block, at, kind):
     contexts = (_mixed(block.near[at], 3), _mixed(block.near[at], block.near2[at]), _mixed(block.last[at], 5))
     for group, row, node, bit in parts:
         places = np.empty((4, *node.shape), np.int32)
-        places[0] = node
+        places[0], node = node, node.astype(np.uint32)
         for i, c in enumerate(contexts):
-            places[i + 1] = 2 * PLAIN + i * WORD_SLOTS + (_mixed(c[row][:, None], node) & np.uint32(WORD_SLOTS - 1)).astype(np.int32)
+            slot = _mixed(c[row][:, None], node)
+            slot &= np.uint32(WORD_SLOTS - 1)
+            np.add(slot.view(np.int32), np.int32(2 * PLAIN + i * WORD_SLOTS), out=places[i + 1])
         yield group, row, bit.astype(bool), places
 
 
@@ -211,12 +254,14 @@ def _byte_decisions(words: list[bytes]):
     size = np.array([len(w) + 1 for w in words])
     place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
     back = [np.where(place >= k, np.append(np.zeros(k, np.int32), raw)[: len(raw)], 0) for k in (1, 2, 3, 4)]
-    d = np.arange(8)
+    d = np.arange(8, dtype=np.int32)
     node, bit = (1 << d) | (raw[:, None] >> (8 - d)), (raw[:, None] >> (7 - d)) & 1
     places, base = np.empty((4, *node.shape), np.int32), 2 * PLAIN + 3 * WORD_SLOTS
-    places[0] = PLAIN + (np.minimum(place, 15) * 256)[:, None] + node
+    places[0], node = PLAIN + (np.minimum(place, 15) * 256)[:, None] + node, node.astype(np.uint32)
     for i, c in enumerate((_mixed(*back[:2]), _mixed(*back[:3]), _mixed(*back))):
-        places[i + 1] = base + i * BYTE_SLOTS + (_mixed(c[:, None], node) & np.uint32(BYTE_SLOTS - 1)).astype(np.int32)
+        slot = _mixed(c[:, None], node)
+        slot &= np.uint32(BYTE_SLOTS - 1)
+        np.add(slot.view(np.int32), np.int32(base + i * BYTE_SLOTS), out=places[i + 1])
     return np.repeat(np.arange(len(words)), size), bit.astype(bool), places
 
 
@@ -274,8 +319,10 @@ def _sliced(table):
     import zstandard
     from pyspark import TaskContext
 
-    flat = table.ravel().astype(np.int64)
-    flat = np.append(flat, np.zeros(-len(flat) % SLICES, np.int64)).reshape(SLICES, -1)
+    flat = table.ravel().astype(np.int64, copy=False)
+    if len(flat) % SLICES:
+        flat = np.append(flat, np.zeros(-len(flat) % SLICES, np.int64))
+    flat = flat.reshape(SLICES, -1)
     part = TaskContext.get().partitionId()
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in flat], pa.binary())], ["slice", "part", "payload"])
 
@@ -294,8 +341,12 @@ def _counted(blocks: DataFrame):
         for b in _each(batches):
             at = np.flatnonzero(b.train)
             for _, _, bit, places in _chunks(b, at, b.count[b.ids[at]] - 1):
-                # An addend of the table's own type: else each addition is cast.
-                np.add.at(table, (places * np.int32(2) + bit).ravel(), np.int64(1))
+                # An addend of the table's own type and places of the index's own: else
+                # each addition is cast.
+                where = places.astype(np.intp)
+                where *= 2
+                where += bit
+                np.add.at(table, where.ravel(), np.int64(1))
         yield _sliced(table)
 
     out = _total(blocks.mapInArrow(run, "slice int, part int, payload binary"), _width(2 * TABLE))
@@ -328,8 +379,13 @@ def _learned(blocks: DataFrame, counts):
     import numpy as np
 
     gates = 3 * GATES
-    # Single precision: half the memory that look-ups go through.
-    of_zero, of_one = (x.astype(np.float32) for x in counts)
+    # What a place says without one token's own decision, at twice the place and its bit:
+    # log odds and gate depend on the counts alone, so each is taken once, not in every token.
+    odds, gate = np.empty(2 * TABLE, np.float32), np.empty(2 * TABLE, np.uint8)
+    zero, one = (x.astype(np.float32) for x in counts)
+    for bit in (0, 1):
+        of_zero, of_one = np.maximum(zero - (1 - bit), 0), np.maximum(one - bit, 0)
+        odds[bit::2], gate[bit::2] = _stretch(of_one, of_zero), _bucket(of_one + of_zero)
 
     def run(batches: Iterator) -> Iterator:
         sums, hits = np.zeros((gates, 5)), np.zeros((2, gates * STEPS))
@@ -340,20 +396,21 @@ def _learned(blocks: DataFrame, counts):
             at = at[b.train[at]]
             w, heard = np.full((gates, 4), 0.3), np.zeros(gates)
             for group, _, bit, places in _chunks(b, at, b.count[b.ids[at]] - 1):
-                bit, places = bit.ravel().astype(np.float32), places.reshape(4, -1)
-                one, zero = of_one.take(places), of_zero.take(places)
-                np.maximum(one - bit, 0, out=one)
-                np.maximum(zero - (1 - bit), 0, out=zero)
-                x = _stretch(one, zero)
-                g = group * GATES + _bucket(one[2] + zero[2]).astype(np.int64)
+                bit, places = bit.ravel(), places.reshape(4, -1)
+                places *= np.int32(2)
+                places += bit
+                x = odds.take(places)
+                g = gate.take(places[2]).astype(np.int64)
+                g += group * GATES
                 now = w.astype(np.float32).T.copy()
                 score = now[0].take(g) * x[0]
                 for i in (1, 2, 3):
                     score += now[i].take(g) * x[i]
                 p = 1 / (1 + np.exp(-np.clip(score, -20, 20)))
-                cell = g * STEPS + _cell(score)
-                hits[0] += np.bincount(cell, bit, minlength=gates * STEPS)
-                hits[1] += np.bincount(cell, minlength=gates * STEPS)
+                cell = (g * STEPS + _cell(score)) * 2 + bit
+                seen = np.bincount(cell, minlength=2 * gates * STEPS).reshape(-1, 2)
+                hits[0] += seen[:, 1]
+                hits[1] += seen.sum(1)
                 gap, bend = bit - p, p * (1 - p)
                 for i in range(4):
                     up, down = np.bincount(g, gap * x[i], minlength=gates), np.bincount(g, bend * x[i] ** 2, minlength=gates)
@@ -409,27 +466,21 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     document all counts are 0. An empty table gives no rows.
     """
     import numpy as np
-    from xxhash import xxh64_intdigest
 
     blocks = written(_blocks(docs, text, key), "lm-blocks")
-    # The count of a word goes to its rows of all blocks by one shuffle and a window.
-    same = Window.partitionBy("h", "g")
-    words = _block_words(blocks).withColumn("c", F.sum("n").over(same)).withColumn("one", F.col("block") == F.min("block").over(same))
-    words = written(words.where("c > 0").select("block", "at", "c", F.when(F.col("one"), F.col("h")).alias("h")), "lm-words")
-    totals = words.where("h IS NOT NULL")
-    n_train, n_words = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    back = words.groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("found"))
-    none = F.array().cast("array<bigint>")
-    joined = blocks.join(back.hint("merge"), "block", "left").select(*blocks.columns, F.coalesce("found.at", none.cast("array<int>")).alias("at"), F.coalesce("found.c", none).alias("c"), F.lit(n_train).alias("n_train"))
+    # The counts of a shard's words go back to all blocks by one shuffle.
+    words = written(_word_counts(_block_words(blocks)), "lm-words")
+    # Counts of each cell of class and hash: a table of fixed size.
+    cells, totals = np.zeros((32, 1 << HASH_BITS)), words.where("block IS NULL")
+    n_words = totals.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    for r in totals.select(F.inline(F.arrays_zip("cell", "sums"))).groupBy("cell").agg(F.sum("sums").alias("c")).collect():
+        cells.ravel()[r["cell"]] = r["c"]
+    n_train = int(cells.sum())
+    back = words.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("found"))
+    none = F.array().cast("array<binary>")
+    joined = blocks.join(back.hint("merge"), "block", "left").select(*blocks.columns, F.coalesce("found.at", none).alias("at"), F.coalesce("found.c", none).alias("c"), F.lit(n_train).alias("n_train"))
     joined = written(joined, "lm-joined")
     drop_table(blocks)
-    # Counts of each cell of class and hash: a table of fixed size.
-    cells = np.zeros((32, 1 << HASH_BITS))
-    end = xxh64_intdigest(b"", 42)
-    kind = F.when(F.col("h") == end - (end >> 63 << 64), F.lit(END)).otherwise(F.least(F.lit(END - 1), F.length(F.bin("c"))))
-    hashed = totals.select(kind.alias("k"), F.col("h").bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("bits"), "c")
-    for r in hashed.groupBy("k", "bits").agg(F.sum("c").alias("c")).collect():
-        cells[r["k"], r["bits"]] = r["c"]
     drop_table(words)
     counts = _counted(joined)
     weights, hits = _learned(joined, counts)
