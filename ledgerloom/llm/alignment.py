@@ -4,8 +4,9 @@ Token A and token B are linked where their byte ranges overlap; places where tok
 both end cut a text into groups. A first pass counts each task's links by pair of ids.
 The distinct pairs of a shard (of B ids) get a minimal perfect hash, and the tasks'
 counts become dense vectors indexed by it, which are added up FAN at a time in as many
-levels as tasks ask for. The second pass aligns the documents again and looks the counts
-up; the key that is kept at a number tells whether it is the pair's own.
+levels as tasks ask for. The first pass keeps the documents' ids as well, so that no text
+is encoded twice: the second aligns them again and looks the counts up; the key that is
+kept at a number tells whether it is the pair's own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import drop_table, open_for_read, open_for_write, scratch, text_of, written
+from ledgerloom.llm.shared import drop_memories, drop_table, open_for_read, open_for_write, scratch, text_of, written
 
 #: Shards of B ids, counts that meet in a task, distinct pairs that a task holds before it
 #: passes them on, bytes of tables that a worker keeps, and bytes of groups in a batch.
@@ -96,10 +97,11 @@ class Aligned:
         return [raw[a : max(a, b - 1)] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def aligned(texts, a_path: str, b_path: str) -> Iterator[tuple[int, int, Aligned]]:
+def encoded(texts, a_path: str, b_path: str) -> Iterator[tuple]:
     """For slices of an Arrow array of strings without nulls: the first row, the row after
-    the last, and the alignment of a space and the text. Texts that are empty, or whose
-    tokens do not give those bytes, have no tokens."""
+    the last, the ids of A and of B (flat), how many of each a text has, and its bytes with
+    the space before it. Texts that are empty, or whose tokens do not give those bytes, have
+    no tokens and no bytes."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -108,7 +110,7 @@ def aligned(texts, a_path: str, b_path: str) -> Iterator[tuple[int, int, Aligned
     from ledgerloom.llm.tokens import encoder
 
     a, b = encoder(a_path, special=False), piece_encoder(b_path)
-    a_length, b_length = _lengths(a_path, b_path)
+    a_length, _ = _lengths(a_path, b_path)
     spaced = pc.binary_join_element_wise(pa.scalar(""), texts, pa.scalar(" "))
     for k, a_ids, a_ends in a.slices(spaced):
         stop = k + len(a_ends) - 1
@@ -116,19 +118,37 @@ def aligned(texts, a_path: str, b_path: str) -> Iterator[tuple[int, int, Aligned
         b_ids, b_count, good = b.of(own)
         size = pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
         a_count, good = np.diff(a_ends), good & (size > 0)
-        a_bytes = a_length[a_ids]
-        held = np.append(0, np.cumsum(a_bytes))
+        held = np.append(0, np.cumsum(a_length[a_ids]))
         good &= held[a_ends[1:]] - held[a_ends[:-1]] == size + 1
         if not a.cuts:
             good &= [not g or a.tokenizer.decode(a_ids[x:y].tolist(), skip_special_tokens=False) == f" {t}" for g, x, y, t in zip(good, a_ends[:-1], a_ends[1:], own.to_pylist(), strict=True)]
-        length, begin = np.where(good, size + 1, 0), 0
-        a_at, b_at, till = a_ends.tolist(), np.append(0, np.cumsum(b_count)).tolist(), np.cumsum(length)
-        while begin < len(good):
-            end = max(begin + 1, int(np.searchsorted(till, (till[begin - 1] if begin else 0) + PART)))
-            mine_a, mine_b = np.repeat(good[begin:end], a_count[begin:end]), np.repeat(good[begin:end], b_count[begin:end])
-            own_a, own_bytes, own_b = (x[y:z][m] for x, y, z, m in ((a_ids, a_at[begin], a_at[end], mine_a), (a_bytes, a_at[begin], a_at[end], mine_a), (b_ids, b_at[begin], b_at[end], mine_b)))
-            yield k + begin, k + end, Aligned(own_a, own_b, own_bytes, b_length[own_b], length[begin:end])
-            begin = end
+        if not good.all():
+            a_ids, b_ids = a_ids[np.repeat(good, a_count)], b_ids[np.repeat(good, b_count)]
+        yield k, stop, a_ids, b_ids, np.where(good, a_count, 0), np.where(good, b_count, 0), np.where(good, size + 1, 0)
+
+
+def aligned(texts, a_path: str, b_path: str) -> Iterator[tuple[int, int, Aligned]]:
+    """For slices of an Arrow array of strings without nulls: the first row, the row after
+    the last, and the alignment of a space and the text. Texts that encoded() gives no
+    tokens have none."""
+    for k, _, *ids in encoded(texts, a_path, b_path):
+        for begin, end, found in aligned_ids(*ids, a_path, b_path):
+            yield k + begin, k + end, found
+
+
+def aligned_ids(a_ids, b_ids, a_count, b_count, size, a_path: str, b_path: str) -> Iterator[tuple[int, int, Aligned]]:
+    """For runs of about PART bytes of texts that are given as by encoded(): the first text,
+    the text after the last, and the alignment."""
+    import numpy as np
+
+    a_length, b_length = _lengths(a_path, b_path)
+    a_at, b_at, till = (np.append(0, np.cumsum(x)) for x in (a_count, b_count, size))
+    begin = 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(till, till[begin] + PART)) - 1)
+        own_a, own_b = a_ids[a_at[begin] : a_at[end]], b_ids[b_at[begin] : b_at[end]]
+        yield begin, end, Aligned(own_a, own_b, a_length[own_a], b_length[own_b], size[begin:end])
+        begin = end
 
 
 def _shard_of(keys):
@@ -148,8 +168,26 @@ def _merged(keys, counts):
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _counted(docs: DataFrame, a_path: str, b_path: str, text: str) -> DataFrame:
-    """(shard, part, keys, counts): each task's links by pair of ids."""
+def _kind(size: int) -> str:
+    """The type of a table's ids below size."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _ids_of(column, kind: str):
+    """The ids of an Arrow column of binaries (flat), and how many each has."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // np.dtype(kind).itemsize
+    flat = np.frombuffer(column.buffers()[2], kind) if ends[-1] else np.zeros(0, kind)
+    return flat[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _counted(docs: DataFrame, a_path: str, b_path: str, text: str, key: Column) -> DataFrame:
+    """Rows of two kinds. (doc_id, size, a, b): each document's bytes with the space before
+    them and its ids, 0 and empty without tokens. (shard, part, keys, counts): each task's
+    links by pair of ids. A row's other columns are null."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -165,23 +203,37 @@ def _counted(docs: DataFrame, a_path: str, b_path: str, text: str) -> DataFrame:
             keys, counts, ends = keys[order], counts[order], np.searchsorted(shard[order], np.arange(SHARDS + 1))
             own = [s for s in range(SHARDS) if ends[s] < ends[s + 1]]
             raw = [[x[ends[s] : ends[s + 1]].tobytes() for s in own] for x in (keys, counts)]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([part] * len(own), pa.int64()), *(pa.array(x, pa.binary()) for x in raw)], ["shard", "part", "keys", "counts"])
+            return row(len(own), shard=pa.array(own, pa.int32()), part=pa.array([part] * len(own), pa.int64()), keys=pa.array(raw[0], pa.binary()), counts=pa.array(raw[1], pa.binary()))
+
+        def row(n, **columns):
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()], list(types))
+
+        def blob(ids, count, kind):
+            ends = np.append(0, np.cumsum(count)) * np.dtype(kind).itemsize
+            raw = pa.py_buffer(ids.astype(kind).tobytes())
+            return pa.Array.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), raw]).cast(pa.binary())
 
+        types = {"doc_id": pa.int64(), "size": pa.int64(), "a": pa.binary(), "b": pa.binary(), "shard": pa.int32(), "part": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+        kinds = [_kind(len(x)) for x in _lengths(a_path, b_path)]
         for batch in batches:
-            for _, _, found in aligned(batch.column(0), a_path, b_path):
-                if len(found.keys):
-                    held.append(np.unique(found.keys, return_counts=True))
-                    size += len(held[-1][0])
-                if size >= HELD:
-                    held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    size = len(held[0][0])
-                    if size >= HELD // 2:
-                        yield passed_on(held)
-                        held, size = [], 0
+            for k, _, *ids in encoded(batch.column(1), a_path, b_path):
+                for begin, end, found in aligned_ids(*ids, a_path, b_path):
+                    if len(found.keys):
+                        held.append(np.unique(found.keys, return_counts=True))
+                        size += len(held[-1][0])
+                    if size >= HELD:
+                        held = [_merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                        size = len(held[0][0])
+                        if size >= HELD // 2:
+                            yield passed_on(held)
+                            held, size = [], 0
+                    n = slice(begin, end)
+                    yield row(end - begin, doc_id=batch.column(0).slice(k + begin, end - begin), size=pa.array(ids[4][n]), a=blob(found.a, ids[2][n], kinds[0]), b=blob(found.b, ids[3][n], kinds[1]))
         if held:
             yield passed_on(held)
 
-    return docs.select(text_of(text)).mapInArrow(run, "shard int, part long, keys binary, counts binary")
+    rows = docs.select(key.cast("long").alias("doc_id"), text_of(text))
+    return rows.mapInArrow(run, "doc_id long, size long, a binary, b binary, shard int, part long, keys binary, counts binary")
 
 
 def _runs(batches: Iterator, *names: str) -> Iterator:
@@ -324,11 +376,17 @@ def _summed(parts: DataFrame, hashes: dict[int, tuple], folder: str) -> DataFram
 def pair_tables(docs: DataFrame, a_path: str, b_path: str, text: str = "text") -> dict[int, tuple]:
     """The counts of all pairs of ids that are linked in docs: for each shard the files of
     its hash and its counts, in the folder that all executors share."""
-    folder = scratch(docs.sparkSession, "pairs")
-    parts = written(_counted(docs, a_path, b_path, text), "task-pairs")
+    coded = written(_counted(docs, a_path, b_path, text, F.lit(None)), "token-pairs")
+    tables = _tables(coded)
+    drop_table(coded)
+    return tables
+
+
+def _tables(coded: DataFrame) -> dict[int, tuple]:
+    """pair_tables() of the rows that _counted() gave."""
+    folder, parts = scratch(coded.sparkSession, "pairs"), coded.where("shard IS NOT NULL").select("shard", "part", "keys", "counts")
     hashes = {r["shard"]: (r["path"],) for r in _hashed(parts, folder).collect()}
     counts = _summed(parts, hashes, folder).collect()
-    drop_table(parts)
     return {r["shard"]: (*hashes[r["shard"]], r["path"]) for r in counts}
 
 
@@ -361,15 +419,19 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", key: st
     tokens: zeros, and empty groups. Texts are whole, however long. Repeated rows count and
     are returned as often as they stand; null ids stay null; other columns, whatever their
     names, are not read; an empty table gives no rows."""
-    tables = pair_tables(docs, a_path, b_path, text)
+    coded = written(_counted(docs, a_path, b_path, text, F.col(key)), "token-pairs")
+    tables = _tables(coded)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        drop_memories()  # words that this worker encoded before: nothing is encoded here
         kept = _Kept(tables)
+        kinds = [_kind(len(x)) for x in _lengths(a_path, b_path)]
         for batch in batches:
-            for k, stop, found in aligned(batch.column(1), a_path, b_path):
+            ids, counts = zip(*(_ids_of(x, kind) for x, kind in zip(batch.columns[2:], kinds, strict=True)), strict=True)
+            for k, _, found in aligned_ids(*ids, *counts, batch.column(1).to_numpy(), a_path, b_path):
                 keys, of = np.unique(found.keys, return_inverse=True)
                 shard, counts, best = _shard_of(keys), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
                 order = np.argsort(shard, kind="stable")
@@ -390,7 +452,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", key: st
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(k + begin, i - begin), *own, pa.array(groups[begin:i], pa.binary()).cast(pa.string())], ["doc_id", *COUNTS, "n_best", "count_sum", "groups"])
                         begin, size = i, 0
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text))
+    rows = coded.where("shard IS NULL").select("doc_id", "size", "a", "b")
     return rows.mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in COUNTS)}, n_best long, count_sum long, groups string")
 
 
