@@ -33,27 +33,35 @@ PASSAGE, HASHED, ITEMS, NEAR, MATCH, ANSWER, BLOCK, RANK, SLACK = 64, 1 << 14, 1
 ROWS, WORDS = 1024, 60_000
 FOUND = "doc_id long, same long, item_id long, cosine double, common double, answer double, start long"
 _WORD = re.compile(r"[^\W_]+")
+_WORD_OR_BLANK = re.compile(r"[^\W_]+| ")
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def word_number(word: str, vocabulary: dict[str, int]) -> int:
-    import zlib
+def word_numbers(pieces: list[str], vocabulary: dict[str, int]):
+    """The numbers of the words of pieces without blanks, and how many each piece has."""
+    from zlib import crc32
 
-    own = vocabulary.get(word)
-    return len(vocabulary) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % HASHED if own is None else own
+    import numpy as np
+
+    # All at once: a blank is no part of a word, nor does the case of what stands beside
+    # it depend on it.
+    found = _WORD_OR_BLANK.findall(" ".join(pieces).lower())
+    known = vocabulary | {" ": -1}
+    numbers = np.array([known[w] if w in known else -2 - crc32(w.encode("utf-8", "surrogatepass")) % HASHED for w in found], np.int64)
+    ends = np.append(np.flatnonzero(numbers == -1), len(numbers))
+    words = numbers[numbers != -1]
+    words = np.where(words < 0, len(vocabulary) - 2 - words, words)
+    return words.astype(np.uint32), (np.diff(ends, prepend=-1) - 1 if pieces else np.zeros(0, np.int64))
 
 
 def _encoded(docs: DataFrame, vocabulary: dict[str, int], text: str, key: str) -> DataFrame:
     """(doc_id, same, ids): each text's words as numbers, with a hash of the text."""
 
     def made(pieces):
-        import numpy as np
-
-        own = [[word_number(w, vocabulary) for w in words_of(x)] for x in pieces.to_numpy(zero_copy_only=False)]
-        return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
+        return word_numbers(pieces.to_numpy(zero_copy_only=False).tolist(), vocabulary)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -148,23 +156,28 @@ def _frequencies(encoded: DataFrame, size: int):
     return out, n
 
 
-def _row_sums(rows, key):
-    """Sums of the rows with equal key (in order): the keys and their sums."""
+def row_sums(rows, at, key):
+    """Sums of the rows `at` that have equal keys (in order): the keys and their sums. Keys
+    with equally many rows are summed at once."""
     import numpy as np
 
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[start], np.add.reduceat(rows, start, axis=0)
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(start, len(key)))
+    out, by = np.empty((len(start), rows.shape[1]), rows.dtype), np.argsort(n, kind="stable")
+    for own in np.split(by, np.flatnonzero(np.diff(n[by])) + 1) if len(by) else []:
+        out[own] = rows[at[start[own][:, None] + np.arange(n[own[0]])]].sum(1)
+    return key[start], out
 
 
-def gram(pieces, idf, test):
-    """The keys and rows of A'(A test) for these passages; A has rows of length one."""
+def gram(pieces, idf, weighted):
+    """The keys and rows of A'(A test) for these passages; A has rows of length one.
+    weighted: test, each word's row times its idf."""
     import numpy as np
 
-    weight = idf[pieces]
-    y = _sums(test * idf[:, None], pieces) / np.maximum((weight**2).sum(1), 1e-9)[:, None]
+    y = _sums(weighted, pieces) / np.maximum((idf[pieces] ** 2).sum(1), 1e-9)[:, None]
     flat = pieces.ravel()
-    by = np.argsort(flat.astype(np.uint16) if len(test) < 1 << 16 else flat, kind="stable")  # small numbers are sorted by their digits
-    words, sums = _row_sums(y[by // pieces.shape[1]], flat[by])
+    by = np.argsort(flat.astype(np.uint16) if len(weighted) < 1 << 16 else flat, kind="stable")  # small numbers are sorted by their digits
+    words, sums = row_sums(y, by // pieces.shape[1], flat[by])
     return words, sums * idf[words][:, None]
 
 
@@ -172,7 +185,7 @@ def _sketch(encoded: DataFrame, idf, test):
     """Z = A'(A test) over all passages of the corpus, a row for each word."""
     import numpy as np
 
-    size, rank = test.shape
+    (size, rank), weighted = test.shape, test * idf[:, None]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -182,7 +195,7 @@ def _sketch(encoded: DataFrame, idf, test):
             for _, rows in _parts(batch.column(0)):
                 pieces, _ = cut(rows, PASSAGE, size - 1)
                 for k in range(0, len(pieces), ROWS):
-                    words, sums = gram(pieces[k : k + ROWS], idf, test)
+                    words, sums = gram(pieces[k : k + ROWS], idf, weighted)
                     z[words] += sums
         at = np.flatnonzero(z.any(1))
         flat = pa.array(z[at].astype(np.float64).ravel())
@@ -315,7 +328,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, key: str) -> DataFr
         test[size] = 0
         z = _sketch(encoded, idf, test)
         passages, _ = cut([x for _, x in coded], PASSAGE, size)
-        words, sums = gram(passages, idf, test)
+        words, sums = gram(passages, idf, test * idf[:, None])
         z[words] += sums * (ITEMS * max(n, 1) / len(passages))
         latent = latent_words(z, test.astype(float)) * idf[:, None]
         latent[size] = 0
